@@ -20,10 +20,11 @@ from .common import SPACE, checkpointed, text_or_empty
 RULES: dict[str, tuple[str, str]] = {
     "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
     "capitals": ("n_letters >= 20 and 10 * n_upper > 4 * n_letters", "n_letters >= 20 and 10 * n_upper <= n_letters"),
-    "letters": ("100 * n_letters < 70 * n_chars", "100 * n_letters >= 76 * n_chars"),
-    "word_length": ("word_chars > 7 * n_words or word_chars < 3 * n_words", "10 * word_chars between 42 * n_words and 58 * n_words"),
+    "letters": ("n_words >= 32 and 100 * n_letters < 69 * n_chars", "100 * n_letters >= 76 * n_chars"),
+    "bare_words": ("5 * n_bare_words > n_words", "50 * n_bare_words <= n_words"),
+    "word_length": ("n_words >= 32 and word_chars > 7 * n_words or n_words >= 32 and word_chars < 3 * n_words", "10 * word_chars between 42 * n_words and 58 * n_words"),
     "windows": ("10 * n_repeat_words > 2 * n_words", "20 * n_repeat_words <= n_words"),
-    "lines": ("10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 and n_lines > 1"),
+    "lines": ("n_dup_lines > 1 and 10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 and n_lines > 1"),
     "line_ends": ("2 * n_ended_lines < n_lines", "10 * n_ended_lines >= 9 * n_lines"),
     "stutter": ("10 * n_stutter > n_words", "50 * n_stutter <= n_words and n_words > 1"),
 }
@@ -48,6 +49,7 @@ def features(rows: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("lines", lambda x: x.rlike(rf"[.!?…][\"'”»)\]]*{_BLANK}*\z"))).cast("long").alias("n_ended_lines"),
+        F.size(F.filter("words", lambda x: ~x.rlike(r"\p{L}"))).cast("long").alias("n_bare_words"),
         F.expr("cast(if(size(words) > 1, size(filter(sequence(1, size(words) - 1), i -> words[i] = words[i - 1])), 0) as long)").alias("n_stutter"),
         F.expr("if(size(words) >= 5, transform(sequence(0, size(words) - 5), i -> xxhash64(words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4])), array())").alias("windows"),
     )
