@@ -174,9 +174,11 @@ def _index(docs: DataFrame, id_col: str, text_col: str, capacity: int, max_depth
     kind = dict(entries.dtypes)["doc_id"]
     texts = rows.mapInArrow(_merge(bitmap.test), f"h long, norm binary, first_id {kind}, n long")
     spark = docs.sparkSession
-    table = spark.createDataFrame(list(enumerate(buckets)), "at long, bucket long")  # 2 ** max_depth rows at most
-    at = F.expr(f"shiftrightunsigned(h, {64 - depth})") if depth else F.lit(0).cast("long")
-    placed = texts.withColumn("at", at).join(F.broadcast(table), "at").drop("at")
+    if depth:
+        table = spark.createDataFrame(list(enumerate(buckets)), "at long, bucket long")  # 2 ** max_depth rows at most
+        placed = texts.withColumn("at", F.expr(f"shiftrightunsigned(h, {64 - depth})")).join(F.broadcast(table), "at").drop("at")
+    else:
+        placed = texts.withColumn("bucket", F.lit(0))
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(set(buckets)))
     files = checkpointed(placed.repartition(width, "bucket").sortWithinPartitions("bucket", "h").select("h", "norm", "first_id", "n"))
     # Lone texts come along if the bitmap or a hash can't tell them from others; they are known already.
@@ -184,7 +186,7 @@ def _index(docs: DataFrame, id_col: str, text_col: str, capacity: int, max_depth
     return entries, lone.unionByName(checked), bitmap
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000, max_depth: int = 16) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1_000, max_depth: int = 16) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of ``docs``.
 
     Texts are equal when their normalised bytes are. keep_id is the smallest id of
@@ -198,7 +200,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000, max_depth: int = 16) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1_000, max_depth: int = 16) -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
 
     Texts that don't recur aren't shuffled.
