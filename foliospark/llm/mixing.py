@@ -97,3 +97,18 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], ceiling: int, seed: int, t
     best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("d"), offsets[k].alias("offset")) for k in range(tries))))
     chosen = sums.select(F.col("source").alias("s"), best["offset"].alias("offset"))
     return rows.join(chosen, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(F.col("offset"))).drop("s", "tie", "place", "rate", "offset")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3, seed: int = 0, tries: int = 32) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mixed`` takes it, with all its columns.
+
+    Rows that share id and text share their copies as evenly as whole copies go.
+    """
+    rows = narrow(docs, doc_id=id_col, text=text_col, source=source_col)
+    rows = checkpointed(rows.select("source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("tie"), F.xxhash64("doc_id", "text").alias("key")))
+    taken = _mixed(rows, weights, ceiling, seed, tries).groupBy("key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(docs[id_col], docs[text_col]).alias("key"))
+    found = keyed.join(taken, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    copies = F.floor(F.col("copies") / F.col("rows")) + (F.col("rank") <= F.col("copies") % F.col("rows")).cast("long")
+    found = found.select("row", copies.alias("copies")).where("copies > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, checkpointed, narrow, shuffle_width, utf8
 from .components import stars
+from .exact import Bitmap
 
 FULL = (1 << 64) - 1
 #: Children of a node.
@@ -218,3 +219,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def as_hex(fp) -> Column:
     """A fingerprint's 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` without all but the smallest id of each component, with all their columns.
+
+    Rows of one id stay or go together; rows without an id stay. Only rows whose id
+    a bitmap can't tell from a dropped one are shuffled.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius, seed)
+    first = F.max(F.col("doc_id") == F.col("component_id"))
+    dropped = checkpointed(found.where("doc_id is not null").groupBy("doc_id").agg(first.alias("first")).where("not first").select("doc_id", F.xxhash64("doc_id").alias("key")))
+    bitmap = Bitmap(dropped, "key")
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id")).withColumn("listed", bitmap.column(F.xxhash64("id")))
+    rest = keyed.where("listed").join(dropped, F.col("id") == dropped["doc_id"], "left_anti")
+    return keyed.where("not listed").select("row.*").unionByName(rest.select("row.*"))
