@@ -33,7 +33,11 @@ _BLANK = r"[\x20\x09-\x0D]"
 
 
 def features(rows: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """``keep`` and the counts that the rules are about, for each row."""
+    """``keep`` and the counts that the rules are about, for each row.
+
+    A filter on the counts must name ``barrier`` too: only then does the optimiser not
+    push it below, where it would work out every step anew for each word.
+    """
     held = [f"keep_{i}" for i in range(len(keep))]
     rows = rows.select(*(c.alias(n) for c, n in zip(keep, held, strict=True)), text_or_empty(text).alias("text"))
     # Each step's columns are used more than once in the next, so that the optimiser leaves the steps apart.
@@ -57,7 +61,7 @@ def features(rows: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     # Only texts with a repeated window go on to sort theirs; equal hashes then stand side by side.
     rows = rows.select(*rest, F.expr("if(size(array_distinct(windows)) < size(windows), array_sort(transform(windows, (x, i) -> struct(x, i))), array())").alias("pairs"))
     rows = rows.select(*rest, F.expr("array_sort(transform(filter(pairs, (p, j) -> (j > 0 and pairs[greatest(j - 1, 0)].x = p.x) or (j < size(pairs) - 1 and pairs[least(j + 1, size(pairs) - 1)].x = p.x)), p -> p.i))").alias("at"))
-    rows = rows.select(*rest, F.expr("cast(if(size(at) = 0, 0, 5 + if(size(at) > 1, aggregate(sequence(1, size(at) - 1), 0, (n, j) -> n + least(5, at[j] - at[j - 1])), 0)) as long)").alias("n_repeat_words"))
+    rows = rows.select(*rest, F.expr("cast(if(size(at) = 0, 0, 5 + if(size(at) > 1, aggregate(sequence(1, size(at) - 1), 0, (n, j) -> n + least(5, at[j] - at[j - 1])), 0)) as long)").alias("n_repeat_words"), F.monotonically_increasing_id().alias("barrier"))
     return rows
 
 
@@ -142,5 +146,5 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judged`` keeps, with all their columns; nothing but counts of patterns is shuffled."""
     model = fit(patterns(with_votes(features(docs, docs[text_col], []))))
     row = F.struct(*(docs[c] for c in docs.columns))
-    voted = with_votes(features(docs, docs[text_col], [row])).where(~F.col("base_failed") & (model.posterior() >= 0.5))
+    voted = with_votes(features(docs, docs[text_col], [row])).where(~F.col("base_failed") & (model.posterior() >= 0.5) & (F.col("barrier") >= 0))
     return voted.select("keep_0.*")
