@@ -37,6 +37,8 @@ REMEMBERED = 1 << 18
 #: Characters of a batch of words at most.
 BATCH = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Spreads the hashes of short pieces over the leading bits.
+_SPREAD = np.uint64(0xD1342543DE82EF95)
 
 
 def _fields(data: bytes):
@@ -103,11 +105,19 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(pieces, types, strict=True)) if t == BYTE}
         self.unknown = types.index(UNKNOWN) if UNKNOWN in types else 0
         self.unknown_score = float(self.scores[normal].min() - 10) if normal else -10.0
-        hashes = np.array([self._hash_of(pieces[i]) for i in normal], dtype=np.uint64)
+        hashes = np.array([self._hash_of(pieces[i]) for i in normal], dtype=np.uint64) * _SPREAD
         order = np.argsort(hashes)
         self.keys, self.key_ids = hashes[order], np.array(normal, dtype=np.int64)[order]
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces have one hash")
+        # A key's place among the sorted keys follows from its leading bits, up to a few steps.
+        self.shift = np.uint64(64 - max(1, len(normal)).bit_length() - 2)
+        heads = (self.keys >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(heads, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
+        self.steps = int(np.diff(self.first).max()) if len(heads) else 0
+        self.keys = np.concatenate([self.keys, np.full(self.steps + 1, (1 << 64) - 1, dtype=np.uint64)])
+        self.key_ids = np.concatenate([self.key_ids, np.full(self.steps + 1, -1)]).astype(np.int32)
+        self.score_of = np.append(self.scores, -np.inf)  # at -1: no piece
         written = {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else written.get(t, p.encode()) for p, t in zip(pieces, types, strict=True)]
 
@@ -120,10 +130,13 @@ class PieceModel:
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The piece of each hash, or -1."""
-        if not len(self.keys):
-            return np.full(hashes.shape, -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.key_ids[at], -1)
+        hashes = hashes * _SPREAD
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        out = np.full(hashes.shape, -1, dtype=np.int32)
+        for k in range(self.steps):
+            same = self.keys[at + k] == hashes
+            out[same] = self.key_ids[at[same] + k]
+        return out
 
     # -- words of one length -------------------------------------------------
 
@@ -136,32 +149,41 @@ class PieceModel:
                 powers[i + 1] = powers[i] * _BASE
         return sums, powers
 
-    def merged(self, codes: np.ndarray) -> list[np.ndarray]:
-        """BPE: the starts of each row's pieces."""
+    def merged(self, codes: np.ndarray):
+        """BPE: (rows, ids) of the rows that end with equally many pieces, again and again; -1 is a character without a piece."""
         rows, m = codes.shape
         sums, powers = self._prefix_hashes(codes)
         starts = np.tile(np.arange(m + 1), (rows, 1))
-        active, out = np.arange(rows), [np.zeros(0, dtype=np.int64)] * rows
+        active, ids = np.arange(rows), self.lookup(codes + np.uint64(1))
+        with np.errstate(over="ignore"):
+            found = self.lookup(sums[:, 2:] - sums[:, :-2] * powers[2]) if m > 1 else np.zeros((rows, 0), dtype=np.int32)
         while len(active):
-            if starts.shape[1] < 3:
-                done = np.ones(len(active), dtype=bool)
-            else:
-                left, right = starts[:, :-2], starts[:, 2:]
-                with np.errstate(over="ignore"):
-                    found = self.lookup(np.take_along_axis(sums, right, 1) - np.take_along_axis(sums, left, 1) * powers[right - left])
-                score = np.where(found >= 0, self.scores[found], -np.inf)
-                best = score.argmax(axis=1)
-                done = score[np.arange(len(active)), best] == -np.inf
-            for i in np.nonzero(done)[0]:
-                out[active[i]] = starts[i, :-1]
-            go = ~done
-            if not go.any():
-                break
-            active, starts, sums, best = active[go], starts[go], sums[go], best[go]
+            n = np.arange(len(active))
+            score = self.score_of[found]
+            best = score.argmax(axis=1) if found.shape[1] else np.zeros(len(active), dtype=np.int64)
+            done = score[n, best] == -np.inf if found.shape[1] else np.ones(len(active), dtype=bool)
+            if done.any():
+                yield active[done], ids[done]
+                go = ~done
+                active, starts, sums, ids, found, best = active[go], starts[go], sums[go], ids[go], found[go], best[go]
+                n = np.arange(len(active))
+                if not len(active):
+                    break
+            ids[n, best] = found[n, best]
             stay = np.ones(starts.shape, dtype=bool)
-            stay[np.arange(len(active)), best + 1] = False
+            stay[n, best + 1] = False
             starts = starts[stay].reshape(len(active), -1)
-        return out
+            ids = ids[stay[:, :-1]].reshape(len(active), -1)
+            # The pair on the merged piece's right takes the place of the pair that merged.
+            stay = np.ones(found.shape, dtype=bool)
+            stay[n, np.minimum(best + 1, found.shape[1] - 1)] = False
+            found = found[stay].reshape(len(active), -1)
+            for pair in (best - 1, best):
+                at = np.nonzero((pair >= 0) & (pair < found.shape[1]))[0]
+                if len(at):
+                    left, right = starts[at, pair[at]], starts[at, pair[at] + 2]
+                    with np.errstate(over="ignore"):
+                        found[at, pair[at]] = self.lookup(sums[at, right] - sums[at, left] * powers[right - left])
 
     def viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
         """Unigram: the starts of each row's pieces on the path of the largest sum of scores; of equals, the longest last piece."""
@@ -217,21 +239,9 @@ class PieceModel:
             at = ends[at]
         return starts
 
-    def _pieces(self, word: str, starts) -> list[int]:
-        out, cuts = [], [*map(int, starts), len(word)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            found = self.ids.get(word[a:b])
-            if found is not None:
-                out.append(found)
-            elif self.byte_ids:
-                out += [self.byte_ids[x] for x in word[a:b].encode("utf-8", "replace")]
-            else:
-                out.append(self.unknown)
-        return out
-
-    def words(self, words: list[str]) -> dict[str, list[int]]:
-        """The ids of each word. A word is a run of U+2581 and what follows it, or either alone."""
-        out: dict[str, list[int]] = {}
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word, as bytes of int32. A word is a run of U+2581 and what follows it, or either alone."""
+        out: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
@@ -243,10 +253,34 @@ class PieceModel:
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(part), m).astype(np.uint64)
-                for w, starts in zip(part, (self.merged if self.kind == BPE else self.viterbi)(codes), strict=True):
-                    out[w] = self._pieces(w, starts)
+                if self.kind == UNIGRAM:
+                    out |= {w: self._pieces(w, starts) for w, starts in zip(part, self.viterbi(codes), strict=True)}
+                    continue
+                for rows, ids in self.merged(codes):
+                    whole, width, odd = ids.astype("<i4").tobytes(), 4 * ids.shape[1], (ids < 0).any(axis=1)
+                    for i, row in enumerate(rows.tolist()):
+                        out[part[row]] = whole[i * width : (i + 1) * width]
+                    for i in np.nonzero(odd)[0]:
+                        w, one = part[rows[i]], ids[i]
+                        out[w] = self._with_bytes(w, one.tolist())
         return out
 
+    def _with_bytes(self, word: str, ids: list[int]) -> bytes:
+        """``ids`` with the bytes of the characters, -1 there, that are no piece."""
+        out, at = [], 0
+        for i in ids:
+            if i >= 0:
+                out.append(i)
+                at += len(self.pieces[i])
+            else:
+                out += [self.byte_ids[x] for x in word[at].encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
+                at += 1
+        return np.array(out, dtype="<i4").tobytes()
+
+    def _pieces(self, word: str, starts) -> bytes:
+        cuts = [*map(int, starts), len(word)]
+        return self._with_bytes(word, [self.ids.get(word[a:b], -1) for a, b in zip(cuts, cuts[1:], strict=False)])
+
 
 _WORD = re.compile("▁*[^▁]+|▁+")
 
@@ -274,7 +308,7 @@ class Encoder:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             new = set().union(*split).difference(self.known)
-            self.known |= {w: np.array(ids, dtype=np.int32).tobytes() for w, ids in self.model.words(list(new)).items()}
+            self.known |= self.model.words(list(new))
             out += [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32) for words in split]
             start = stop
         return out
