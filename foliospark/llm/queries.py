@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, quality_rules, sentencepiece, simhash
+from . import exact, mixing, quality_rules, sentencepiece, simhash, token_counts
 from .common import documents
 
 
@@ -32,12 +32,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return sentencepiece.encoded(documents(spark, sf_dir), model_path or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return token_counts.counted(documents(spark, sf_dir), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_mixing": op2_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: SQL can't express XXH64 (1), the random offsets (2) or the EM fit (7).
