@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,17 +52,30 @@ def held_out(doc_id: Column, modulus: int, remainder: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def arrow_rows(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterable], Iterator]:
-    """For mapInArrow: ``function`` on each batch that has rows."""
+def arrow_rows(function: Callable[[pa.RecordBatch], pa.RecordBatch], text: int | None = None, size: int = 1 << 20) -> Callable[[Iterable], Iterator]:
+    """For mapInArrow: ``function`` on each batch that has rows.
+
+    With ``text``, the number of a string column: on parts of a batch with about
+    ``size`` bytes of that column, so that a worker's memory doesn't grow with the batch.
+    """
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+            for part in [batch] if text is None else parts(batch, text, size):
+                if part.num_rows:
+                    yield function(part)
 
     return run
 
 
+def parts(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.RecordBatch]:
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(lengths, dtype=np.int64) // size
+    cuts = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), batch.num_rows]
+    for start, stop in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(start, stop - start)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -33,9 +33,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words longer than this go one at a time, in time that grows as n log n.
 LONG_WORD = 48
 #: Words that a worker remembers at most.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Characters of a batch of words at most.
-BATCH = 1 << 19
+BATCH = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Spreads the hashes of short pieces over the leading bits.
 _SPREAD = np.uint64(0xD1342543DE82EF95)
@@ -298,20 +298,12 @@ class Encoder:
         return _WORD.findall("▁" + text if self.model.dummy_prefix else text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, start = [], 0
-        while start < len(texts):  # a few texts at a time, so that memory doesn't grow with the batch
-            stop, chars = start, 0
-            while stop < len(texts) and (stop == start or chars + len(texts[stop]) < 1 << 22):
-                chars += len(texts[stop])
-                stop += 1
-            split = [self.split(t) for t in texts[start:stop]]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = set().union(*split).difference(self.known)
-            self.known |= self.model.words(list(new))
-            out += [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32) for words in split]
-            start = stop
-        return out
+        split = [self.split(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = set().union(*split).difference(self.known)
+        self.known |= self.model.words(list(new))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32) for words in split]
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.model.bytes.__getitem__, ids)).decode("utf-8", "replace").replace("▁", " ")
@@ -345,7 +337,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([batch.column(0), tokens, pa.array(sizes), pa.array(back)], names=["doc_id", "token_ids", "n_tokens", "round_trip"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(arrow_rows(run), f"doc_id {dict(rows.dtypes)['doc_id']}, token_ids array<int>, n_tokens long, round_trip boolean")
+    return rows.mapInArrow(arrow_rows(run, text=1), f"doc_id {dict(rows.dtypes)['doc_id']}, token_ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decoded(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:

@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     rows = narrow(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(arrow_rows(score), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return rows.mapInArrow(arrow_rows(score, text=1, size=1 << 22), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
