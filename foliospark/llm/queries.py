@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, lm_score, mixing, quality_rules, sentencepiece, simhash, token_counts
+from . import exact, langid, lm_score, mixing, quality_rules, sentencepiece, simhash, token_counts
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(documents(spark, sf_dir))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | No
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_mixing": op2_mixing,
+    "op3_language_id": op3_language_id,
     "op4_lm_score": op4_lm_score,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
