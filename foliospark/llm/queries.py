@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, langid, lm_score, mixing, quality_rules, sentencepiece, simhash, token_counts
+from . import exact, langid, lm_score, mixing, pii, quality_rules, sentencepiece, simhash, site_quality, token_counts
 from .common import documents
 
 
@@ -32,6 +32,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
@@ -40,6 +44,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return sentencepiece.encoded(documents(spark, sf_dir), model_path or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -50,8 +58,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_lm_score": op4_lm_score,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_site_quality": op6_site_quality,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_token_counts": op10_token_counts,
 }
 
