@@ -2,9 +2,608 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import bridge
+from ..functions import geometry as G
+from ..functions import text as T
+from ..operators import export, quality, relational, rows, sections, spatial
+from ..sources.files import table
+from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def shared_folder(spark: SparkSession) -> None:
+    """A checkpoint folder for iterative queries: the session's own, or a temporary one on a single machine."""
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
+
+
+# -- inputs ------------------------------------------------------------------
+# Documents have no geometry of their own: a line's place on a page of 40 lines, and
+# glyph and region boxes, are made from the tables' numbers, the same way in SQL.
+
+
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    page = F.floor(F.col("line_no") / 40).cast("int")
+    return docs.select("doc_id", "lang", "line_no", "line", page.alias("page_index"), (F.col("line_no") % 40).alias("pos"), ((F.col("line_no") % 40) / F.lit(40.0)).alias("top"))
+
+
+LINES = """lines as (select doc_id, lang, line_no, line, line_no // 40 as page_index, line_no % 40 as pos, (line_no % 40) / 40.0::double as top from (
+    select doc_id, lang, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from documents))"""
+
+
+def document_rows(spark: SparkSession, d: str) -> DataFrame:
+    return text_lines(spark, d).select("doc_id", "page_index", "pos", F.col("line").alias("text"), F.lit("text").alias("kind"), F.lit(0.1).alias("left"), "top", F.lit(0.8).alias("width"), F.lit(0.02).alias("height"), F.lit(10.0).alias("font_size"), F.lit(False).alias("font_bold"))
+
+
+def glyphs(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "lineitem")
+    x, y = F.col("l_partkey") % 300, F.col("l_suppkey") % 200
+    return t.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("glyph_id"), F.col("l_linenumber").alias("n"), (F.col("l_linenumber") % 3).alias("para_id"), (F.col("l_linenumber") % 2).alias("comp_id"), (F.col("l_linenumber") % 3).alias("row_id"), F.when(F.col("l_linenumber") % 5 == 0, "formula").otherwise("text").alias("kind"), F.col("l_returnflag").alias("ch"), x.cast("double").alias("x"), y.cast("double").alias("y"), (x + 6).cast("double").alias("x2"), (y + 10).cast("double").alias("y2"), (8 + F.col("l_linenumber") % 4).cast("double").alias("font_size"))
+
+
+GLYPHS = """glyphs as (select l_orderkey as doc_id, 0 as page_index, l_linenumber * 10000000 + l_partkey as glyph_id, l_linenumber as n, l_linenumber % 3 as para_id, l_linenumber % 2 as comp_id, l_linenumber % 3 as row_id,
+    case when l_linenumber % 5 = 0 then 'formula' else 'text' end as kind, l_returnflag as ch, (l_partkey % 300)::double as x, (l_suppkey % 200)::double as y, (l_partkey % 300 + 6)::double as x2, (l_suppkey % 200 + 10)::double as y2, (8 + l_linenumber % 4)::double as font_size from lineitem)"""
+
+
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    x, y = (F.col("o_custkey") * (F.col("k") + 1)) % 200, (F.col("o_custkey") * (F.col("k") + 3)) % 100
+    name = F.element_at(F.array(F.lit("figure"), F.lit("table"), F.lit("caption")), F.col("k") + 1)
+    return t.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.col("k").alias("region_id"), name.alias("class_name"), ((F.col("o_custkey") % 10) / 10.0).alias("conf"), x.cast("double").alias("x"), y.cast("double").alias("y"), (x + 100 + 20 * F.col("k")).cast("double").alias("x2"), (y + 80).cast("double").alias("y2"))
+
+
+REGIONS = """regions as (select o_orderkey as doc_id, 0 as page_index, k as region_id, ['figure', 'table', 'caption'][k + 1] as class_name, (o_custkey % 10) / 10.0::double as conf,
+    (o_custkey * (k + 1) % 200)::double as x, (o_custkey * (k + 3) % 100)::double as y, (o_custkey * (k + 1) % 200 + 100 + 20 * k)::double as x2, (o_custkey * (k + 3) % 100 + 80)::double as y2 from orders, (values (0), (1), (2)) v(k))"""
+
+# -- lines, margins and quality ----------------------------------------------
+
+_BODY_SQL = r"len(regexp_extract_all(line, '\p{L}')) >= 24 and not regexp_matches(line, '(?i)copyright|all rights reserved|publishing group|^ *[©®]')"
+
+
+@query(f"""with {LINES}, n as (select *, {_BODY_SQL} as body, len(regexp_extract_all(line, '\\p{{L}}')) as letters from lines),
+    r as (select lang, line from n where line <> '' group by lang, line having count(*) > 1), s as (select lang, count(*) as repeated_lines from r group by lang)
+    select n.lang, count(distinct doc_id) as docs, count(*) as lines, count_if(body) as body_lines, sum(letters)::bigint as letters, coalesce(any_value(s.repeated_lines), 0) as repeated_lines from n left join s on s.lang = n.lang group by n.lang""")
+def body_lines_by_lang(spark, d):
+    marked = text_lines(spark, d).select("lang", "doc_id", "line", T.is_body(F.col("line")).alias("body"), T.letters(F.col("line")).alias("letters"))
+    repeated = marked.where("line <> ''").groupBy("lang", "line").count().where("count > 1").groupBy("lang").agg(F.count(F.lit(1)).alias("repeated_lines"))
+    sums = marked.groupBy("lang").agg(F.count_distinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("lines"), F.count_if("body").alias("body_lines"), F.sum("letters").cast("long").alias("letters"))
+    return sums.join(repeated, "lang", "left").withColumn("repeated_lines", F.coalesce("repeated_lines", F.lit(0)))
+
+
+@query(f"""with {LINES}, b as (select *, case when length(line) > 180 then null when top + 0.02 <= 0.12 then 'header' when top >= 0.89 then 'footer' end as band from lines),
+    k as (select *, band || ':' || regexp_replace(trim(regexp_replace(lower(line), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '[0-9]+', '#', 'g') as key from b where band is not null),
+    c as (select doc_id, key, count(distinct page_index) as n from k group by all)
+    select doc_id, page_index, pos, 'headersFooters' as reason, line as text from k join c using (doc_id, key) where n >= 2 or regexp_matches(line, '^ *[-–—]? *[0-9]+ *[-–—]? *$')""")
+def margin_exclusions(spark, d):
+    return sections.margin_exclusions(document_rows(spark, d))
+
+
+@query(f"""with {LINES} select doc_id, count(*) as n_lines, sum(len(regexp_extract_all(line, '\\p{{L}}')))::bigint as letters, sum(len(regexp_extract_all(line, '\\p{{Lu}}')))::bigint as capitals, count_if(regexp_matches(line, '[.!?] *$')) as ended from lines group by doc_id""")
+def letters_by_document(spark, d):
+    n = text_lines(spark, d)
+    return n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(T.letters(F.col("line"))).cast("long").alias("letters"), F.sum(F.regexp_count("line", F.lit(r"\p{Lu}"))).cast("long").alias("capitals"), F.count_if(F.col("line").rlike("[.!?] *$")).alias("ended"))
+
+
+_HEALTH_SQL = r"""case when len(regexp_extract_all(text, '\p{L}')) < 60 then 'sparse'
+    when len(regexp_extract_all(text, '�|[\x00-\x08\x0E-\x1F\x7F-\x{9F}]')) > 20 and len(regexp_extract_all(text, '�|[\x00-\x08\x0E-\x1F\x7F-\x{9F}]')) > 0.2 * length(text) then 'broken'
+    when len(list_filter(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), lambda x: regexp_full_match(x, '\p{L}'))) > 0.35 * len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) then 'broken' else 'healthy' end"""
+
+
+@query(f"select doc_id, {_HEALTH_SQL} as health from documents")
+def text_health(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.text_health(F.col("text")).alias("health"))
+
+
+_PAGES_SQL = f"""{LINES}, pages as (select doc_id, page_index, string_agg(line, chr(10) order by pos) as text, (doc_id % 10) / 10.0::double as image_share, (doc_id % 7) / 6.0::double as hidden_share from lines group by doc_id, page_index),
+    judged as (select *, case when image_share >= 0.45 and hidden_share > 0.8 then 'scanned' when h = 'sparse' and image_share > 0.45 then 'image-text' when h = 'broken' then 'bitmap-text' else 'healthy' end as quality from (select *, {_HEALTH_SQL} as h from pages))"""
+
+
+def text_pages(spark, d):
+    lines = text_lines(spark, d).groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return lines.withColumn("image_share", (F.col("doc_id") % 10) / 10.0).withColumn("hidden_share", (F.col("doc_id") % 7) / 6.0)
+
+
+@query(f"with {_PAGES_SQL} select doc_id, page_index, quality from judged")
+def page_quality(spark, d):
+    return quality.page_quality(text_pages(spark, d)).select("doc_id", "page_index", "quality")
+
+
+@query(f"""with {_PAGES_SQL} select doc_id, count_if(quality = 'scanned') as scanned, count_if(quality = 'image-text') as image_text, count_if(quality = 'bitmap-text') as bitmap_text, count_if(quality = 'healthy') as healthy, count(*) as n_pages from judged group by doc_id""")
+def page_quality_rollup(spark, d):
+    found = quality.quality_rollup(quality.page_quality(text_pages(spark, d)))
+    return found.select("doc_id", *(F.size(c).cast("long").alias(c) for c in ("scanned", "image_text", "bitmap_text", "healthy")), "n_pages")
+
+
+@query("""with v as (select doc_id, lang, coalesce(any_value(quality), -1) as label, any_value(len(regexp_extract_all(text, '[#*$%&|<>]'))) > 0.1 * any_value(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'))) as symbols from documents left join labels using (doc_id) group by doc_id, lang)
+    select lang, label, symbols, count(*) as n from v group by all""")
+def predicate_against_labels(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    symbols = F.regexp_count("text", F.lit("[#*$%&|<>]")) > 0.1 * F.size(T.words(F.col("text")))
+    return docs.groupBy("lang", F.coalesce("quality", F.lit(-1)).alias("label"), symbols.alias("symbols")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with c as (select user_id, event_type, count(*) as n, min(event_id) as f from events group by all)
+    select user_id, arg_max(event_type, n * 1000000000 - f) as event_type from c group by user_id""")
+def dominant_event(spark, d):
+    return rows.dominant(table(spark, d, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query("select event_type, median(value) as median_value, count(distinct user_id) as users from events group by event_type")
+def medians(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median_value"), F.count_distinct("user_id").alias("users"))
+
+
+@query("select doc_id, len(regexp_extract_all(text, '<[^>]*>')) as tags from (select conv_id * 1000 + turn as doc_id, text from conversations where turn >= 0)")
+def tags_in_turns(spark, d):
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.regexp_count("text", F.lit("<[^>]*>")).cast("long").alias("tags"))
+
+
+@query("""select conv_id, turn, case when role = 'user' and len(regexp_extract_all(text, '[A-Za-z]')) >= 12 then 'refused' end as problem from conversations""")
+def reply_checks(spark, d):
+    turns = table(spark, d, "conversations")
+    reply = F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat("text", F.lit(" x")))
+    return bridge.checked(turns, reply).select("conv_id", "turn", "problem")
+
+
+@query()
+def translated_turns(spark, d):
+    turns = table(spark, d, "conversations")
+    return turns.select("conv_id", "turn", bridge.translation(bridge.reversed_words)("text").alias("reply"))
+
+
+@query()
+def compatibility_forms(spark, d):
+    return table(spark, d, "documents").select("doc_id", bridge.nfkc("text").alias("text"))
+
+
+@query("""select event_id, case when event_type = 'error' then 'timeout' when value > 50 then 'page' else 'engine' end as code from events""")
+def failure_codes(spark, d):
+    chain = F.when(F.col("event_type") == "error", F.array(F.lit("ValueError"), F.lit("TimeoutError"))).when(F.col("value") > 50, F.array(F.lit("PageError"))).otherwise(F.array(F.lit("ValueError")))
+    return table(spark, d, "events").select("event_id", T.failure_code(chain).alias("code"))
+
+
+# -- sequences ---------------------------------------------------------------
+
+
+@query(f"""with {GLYPHS}, g as (select *, x - lag(x2) over (partition by doc_id, para_id order by x, glyph_id) as gap from glyphs)
+    select doc_id, para_id as line, glyph_id, sum(case when gap > greatest(24, 3 * font_size) then 1 else 0 end) over (partition by doc_id, para_id order by x, glyph_id)::bigint as segment from g""")
+def column_segments(spark, d):
+    g = glyphs(spark, d).withColumn("line", F.col("para_id")).withColumn("pos", F.col("glyph_id"))
+    return rows.segments(g).select("doc_id", "line", "glyph_id", F.col("segment").cast("long").alias("segment"))
+
+
+@query("""with r as (select l_orderkey as doc_id, l_linenumber as pos, l_linenumber / 8.0::double as top, (l_partkey % 60) / 100.0::double as "left", case when l_suppkey % 5 = 0 then 0.7::double else 0.3::double end as width from lineitem),
+    s as (select *, width >= 0.6 as span, width < 0.6 and "left" + width / 2 >= 0.5 as "right" from r),
+    t as (select *, count_if(not span and not "right") over (partition by doc_id) >= 3 and count_if("right") over (partition by doc_id) >= 3 as two from s),
+    b as (select *, case when two then count_if(span) over (partition by doc_id order by top) else 0 end as band from t)
+    select doc_id, pos, row_number() over (partition by doc_id order by band, two and not span, two and "right", top, "left") as reading_pos from b""")
+def reading_order(spark, d):
+    t = table(spark, d, "lineitem")
+    r = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.col("l_linenumber").alias("pos"), (F.col("l_linenumber") / 8.0).alias("top"), ((F.col("l_partkey") % 60) / 100.0).alias("left"), F.when(F.col("l_suppkey") % 5 == 0, 0.7).otherwise(0.3).alias("width"))
+    return rows.reading_order(r).select("doc_id", "pos", F.col("reading_pos").cast("long").alias("reading_pos"))
+
+
+@query("""with p as (select distinct user_id as doc_id, event_id // 1000 as page_index from events), n as (select *, case when page_index <> lag(page_index) over (partition by doc_id order by page_index) + 1 then 1 else 0 end as new from p)
+    select doc_id, page_index, sum(new) over (partition by doc_id order by page_index)::bigint as run from n""")
+def page_runs(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.floor(F.col("event_id") / 1000).alias("page_index")).distinct()
+    return sections.page_runs(e).select("doc_id", "page_index", F.col("run").cast("long").alias("run"))
+
+
+@query("""with p as (select distinct user_id as doc_id, event_id // 1000 as page_index from events), n as (select *, case when page_index <> lag(page_index) over (partition by doc_id order by page_index) + 1 then 1 else 0 end as new from p),
+    r as (select *, sum(new) over (partition by doc_id order by page_index) as run from n), e as (select user_id as doc_id, event_id // 1000 as page_index, event_id as pos, case when event_type = 'error' then false when event_type = 'signup' then true end as m from events)
+    select doc_id, pos, coalesce(last_value(m ignore nulls) over (partition by doc_id, run order by page_index, pos rows unbounded preceding), false) as state from e join r using (doc_id, page_index)""")
+def toggled_state(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.floor(F.col("event_id") / 1000).alias("page_index"), F.col("event_id").alias("pos"), "event_type")
+    return sections.toggled(e, F.col("event_type") == "signup", F.col("event_type") == "error").select("doc_id", "pos", "state")
+
+
+@query(f"""with {LINES} select distinct doc_id, page_index, false as in_references from lines""")
+def state_before_pages(spark, d):
+    return sections.state_before_pages(document_rows(spark, d))
+
+
+@query()
+def structure_entries(spark, d):
+    return sections.structure(document_rows(spark, d))[0]
+
+
+@query()
+def structure_exclusions(spark, d):
+    return sections.structure(document_rows(spark, d), references=False)[1]
+
+
+@query()
+def rows_from_glyphs(spark, d):
+    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.lit(320.0).alias("width"), F.lit(220.0).alias("height"))
+    g = glyphs(spark, d).withColumn("pos", F.col("glyph_id")).withColumn("font_id", F.col("kind"))
+    return rows.rows_from_glyphs(g, pages)
+
+
+@query()
+def label_groups(spark, d):
+    return spatial.label_groups(glyphs(spark, d))
+
+
+@query()
+def merged_ocr_lines(spark, d):
+    return spatial.merged_ocr_lines(glyphs(spark, d).select("doc_id", "page_index", F.col("para_id").alias("region_id"), F.col("ch").alias("text"), "x", "y", "x2", "y2", "font_size"))
+
+
+@query()
+def entry_columns(spark, d):
+    return spatial.columns_of(glyphs(spark, d).select("doc_id", "page_index", F.col("glyph_id").alias("entry_id"), "kind", "x", "y"))
+
+
+@query(f"""with {GLYPHS} select doc_id, glyph_id as entry_id, lead(y2) over (partition by doc_id, para_id order by y2 desc, glyph_id) + 1.5 as floor from glyphs where n <= 3""")
+def reserved_room(spark, d):
+    g = glyphs(spark, d).where("n <= 3").withColumn("column", F.col("para_id")).withColumn("entry_id", F.col("glyph_id"))
+    return spatial.reserved(g).select("doc_id", "entry_id", "floor")
+
+
+@query("""select l_orderkey as doc_id, l_linenumber as entry_id, row_number() over (partition by l_orderkey, case when l_quantity > 25 then 10000000000000000 else 1 end order by l_linenumber) as sub_order from lineitem""")
+def draw_order(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.col("l_linenumber").alias("entry_id"), F.when(F.col("l_quantity") <= 25, F.lit(1).cast("long")).alias("render_order"))
+    return spatial.draw_order(t).select("doc_id", "entry_id", F.col("sub_order").cast("long").alias("sub_order"))
+
+
+@query("""with s as (select l_orderkey as doc_id, lag(l_quantity) over (partition by l_orderkey order by l_quantity desc) - l_quantity as step from lineitem) select doc_id, 0 as page_index, median(step) / 1.2 as pitch from s where step > 4 and step < 50 group by doc_id""")
+def line_pitch(spark, d):
+    return quality.line_pitch(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), F.col("l_quantity").alias("y")))
+
+
+@query("""select l_orderkey as doc_id, coalesce(median(case when l_returnflag = 'R' then l_quantity end) * 1.15, 'Infinity'::double) as threshold from lineitem group by l_orderkey""")
+def reference_threshold(spark, d):
+    return quality.reference_threshold(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_returnflag") == "R").alias("confirmed"), F.col("l_quantity").alias("font_size")))
+
+
+@query(f"""with {LINES}, v as (select doc_id, page_index, (doc_id * 30 + line_no * 90) % 360 as a, len(regexp_extract_all(line, '\\p{{L}}')) as n from lines where top >= 0.06 and top + 0.02 <= 0.94),
+    q as (select doc_id, page_index, a as q, sum(n) as n from v where n >= 3 and a % 90 = 0 group by all), b as (select doc_id, page_index, sum(n) as total, max(n) as most, arg_max(q, n) as q from q group by all)
+    select p.doc_id, p.page_index, coalesce(case when total >= 80 and most >= 0.7 * total then q else 0 end, 0)::int as direction from (select distinct doc_id, page_index from lines) p left join b using (doc_id, page_index)""")
+def text_direction(spark, d):
+    n = text_lines(spark, d).withColumn("angle", (F.col("doc_id") * 30 + F.col("line_no") * 90) % 360)
+    n = n.select("doc_id", "page_index", F.col("line").alias("text"), F.col("angle").cast("double").alias("angle"), F.lit(False).alias("vertical"), F.lit(0.1).alias("left"), "top", F.lit(0.8).alias("width"), F.lit(0.02).alias("height"))
+    return quality.text_direction(n)
+
+
+@query(f"""with {LINES} select doc_id, case when count_if({_BODY_SQL}) > 0 then null else 'document_no_body_text' end as error from lines group by doc_id""")
+def body_gate(spark, d):
+    return quality.body_gate(text_lines(spark, d).select("doc_id", T.is_body(F.col("line")).alias("is_body")))
+
+
+# -- joins by place ----------------------------------------------------------
+
+_IN = "g.x between r.x - {t} and r.x2 + {t} and g.y between r.y - {t} and r.y2 + {t}"
+
+
+@query(f"""with {GLYPHS}, {REGIONS}, f as (select g.doc_id, glyph_id, region_id, class_name, (r.x2 - r.x) * (r.y2 - r.y) as a from glyphs g join regions r using (doc_id, page_index)
+    where conf >= 0.5 and greatest(least(g.x2, r.x2) - greatest(g.x, r.x), 0) * greatest(least(g.y2, r.y2) - greatest(g.y, r.y), 0) >= 0.8 * 60)
+    select doc_id, glyph_id, arg_min(region_id, a * 10 + region_id) filter (class_name <> 'caption') as region_id from f group by all having count_if(class_name = 'caption') = 0""")
+def graphic_glyphs(spark, d):
+    return spatial.graphic_glyphs(glyphs(spark, d), regions(spark, d)).select("doc_id", "glyph_id", "region_id")
+
+
+@query(f"""with {GLYPHS}, {REGIONS}, h as (select g.doc_id, para_id, glyph_id, count(r.region_id) as n from glyphs g left join regions r on r.doc_id = g.doc_id and {_IN.format(t=2)} group by all)
+    select doc_id, para_id, bool_and(n = 1) as covered from h group by all""")
+def covered_paragraphs(spark, d):
+    return spatial.covered_parents(glyphs(spark, d), regions(spark, d)).select("doc_id", "para_id", "covered")
+
+
+@query(f"""with {GLYPHS}, {REGIONS}, h as (select g.doc_id, para_id, comp_id, kind, glyph_id, count(r.region_id) > 0 as hit from glyphs g left join regions r on r.doc_id = g.doc_id and {_IN.format(t=0.6)} where kind = 'text' group by all)
+    select doc_id, para_id, comp_id, case when bool_and(hit) then 'all' when not bool_or(hit) then 'none' else 'mixed' end as part from h group by all""")
+def parts_by_exclusion(spark, d):
+    return spatial.parts_by_exclusion(glyphs(spark, d).where("kind = 'text'"), regions(spark, d)).select("doc_id", "para_id", "comp_id", "part")
+
+
+@query(f"""with {GLYPHS}, {REGIONS}, f as (select g.doc_id, glyph_id, region_id, abs((g.y + g.y2) / 2 - (r.y + r.y2) / 2) as d from glyphs g join regions r on r.doc_id = g.doc_id and (g.x + g.x2) / 2 between r.x - 2 and r.x2 + 2
+      where floor((g.y + g.y2) / 2 / 8) between floor((r.y + r.y2) / 2 / 8) - 1 and floor((r.y + r.y2) / 2 / 8) + 1)
+    select doc_id, glyph_id, arg_min(region_id, d * 10 + region_id) as word_id from f group by all having min(d) <= 80""")
+def nearest_words(spark, d):
+    return spatial.nearest_words(glyphs(spark, d), regions(spark, d).withColumnRenamed("region_id", "word_id")).select("doc_id", "glyph_id", "word_id")
+
+
+@query(f"""with {GLYPHS}, {REGIONS}, h as (select g.doc_id, row_id, glyph_id, count(r.region_id) > 0 as hit from glyphs g left join regions r on r.doc_id = g.doc_id and (g.x + g.x2) / 2 between r.x and r.x2 and (g.y + g.y2) / 2 between r.y and r.y2 group by all)
+    select doc_id, row_id, count_if(hit) >= 0.7 * count(*) as covered from h group by all""")
+def covered_rows(spark, d):
+    return spatial.covered_rows(glyphs(spark, d), regions(spark, d)).select("doc_id", "row_id", "covered")
+
+
+@query(f"""with {GLYPHS}, {REGIONS} select g.doc_id, g.glyph_id from glyphs g where not (para_id = 1 and exists (select 1 from regions r where r.doc_id = g.doc_id and (g.x + g.x2) / 2 between r.x and r.x2 and (g.y + g.y2) / 2 between r.y and r.y2))""")
+def freed_exclusions(spark, d):
+    ex = glyphs(spark, d).withColumn("reason", F.when(F.col("para_id") == 1, "references").otherwise("headersFooters")).withColumn("exclusion_id", F.concat_ws("-", "doc_id", "glyph_id"))
+    return spatial.freed_exclusions(ex, regions(spark, d)).select("doc_id", "glyph_id")
+
+
+@query(f"""with {GLYPHS} select p.doc_id, p.glyph_id from glyphs p where exists (select 1 from glyphs b where b.doc_id = p.doc_id and b.n = 1 and (p.n // 4 > 0 or (p.n // 4 = 0 and p.y2 <= b.y and greatest(least(p.x2, b.x2) - greatest(p.x, b.x), 0) / 6 > 0.3)))""")
+def after_biography(spark, d):
+    g = glyphs(spark, d).withColumn("page_index", F.floor(F.col("n") / 4))
+    return spatial.after_biography(g, g.where("n = 1")).select("doc_id", "glyph_id")
+
+
+@query(f"""with {GLYPHS}, n as (select a.doc_id, a.glyph_id, max(b.y2) as ny from glyphs a join glyphs b on a.doc_id = b.doc_id and a.kind = b.kind and a.glyph_id <> b.glyph_id and abs(a.x - b.x) < 24 and b.y2 <= a.y where a.kind = 'text' group by all)
+    select g.doc_id, g.glyph_id as entry_id, case when g.y - ny <= 16 then least(g.y, ny + 1.5) else g.y end as y from glyphs g left join n using (doc_id, glyph_id) where g.kind = 'text'""")
+def extended_boxes(spark, d):
+    e = glyphs(spark, d).where("kind = 'text'").withColumn("kind", F.lit("reference")).withColumn("entry_id", F.col("glyph_id"))
+    return spatial.extended_boxes(e).select("doc_id", "entry_id", "y")
+
+
+@query(f"""with {GLYPHS}, {REGIONS} select distinct r.doc_id, r.region_id as entry_id from regions r join glyphs g on g.doc_id = r.doc_id and {_IN.format(t=2)} where g.para_id <> 1""")
+def entries_with_strangers(spark, d):
+    g = glyphs(spark, d)
+    parents = g.select("doc_id", "page_index", "para_id").distinct().withColumn("covered", F.col("para_id") == 1)
+    return spatial.entries_with_strangers(regions(spark, d).withColumnRenamed("region_id", "entry_id"), g, parents).select("doc_id", "entry_id")
+
+
+@query("""with recursive links as (select l_orderkey as e, l_partkey as p from lineitem where l_quantity > 47), r as (select o_orderkey as e from orders where o_totalprice > 300000 union select b.e from r join links a on a.e = r.e join links b on b.p = a.p) select e as entry_id from r""")
+def rollback_closure(spark, d):
+    shared_folder(spark)
+    links = table(spark, d, "lineitem").where("l_quantity > 47").select(F.col("l_orderkey").alias("entry_id"), F.col("l_partkey").alias("parent_id"))
+    bad = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("entry_id"))
+    return spatial.closure(links, bad)
+
+
+@query("""select l_orderkey as doc_id, l_linenumber as glyph_id, 1 - ((l_suppkey % 200) / 250.0 + 0.04) as "left", (l_partkey % 300) / 400.0 as top from lineitem""")
+def rotated_rects(spark, d):
+    t = table(spark, d, "lineitem")
+    rect = F.struct(((F.col("l_partkey") % 300) / 400.0).alias("left"), ((F.col("l_suppkey") % 200) / 250.0).alias("top"), F.lit(0.1).alias("width"), F.lit(0.04).alias("height"))
+    return t.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("glyph_id"), G.rotated(rect, F.lit(90)).alias("r")).select("doc_id", "glyph_id", (1 - ((1 - F.col("r.left")))).alias("left"), F.col("r.top").alias("top"))
+
+
+# -- pages, parts and resources ----------------------------------------------
+
+
+@query("""select d.doc_id, 0 as page_index, coalesce(l.quality, d.n_chars)::bigint as n, l.doc_id is not null as replaced from documents d left join labels l using (doc_id)""")
+def replaced_pages(spark, d):
+    src = table(spark, d, "documents").select("doc_id", F.lit(0).alias("page_index"), F.col("n_chars").alias("n"))
+    new = table(spark, d, "labels").select("doc_id", F.lit(0).alias("page_index"), F.col("quality").cast("long").alias("n"))
+    return export.replaced_pages(src, new, ["n"])
+
+
+@query("""select l_orderkey as doc_id, l_linenumber as page_index from lineitem l where not exists (select 1 from lineitem m where m.l_orderkey = l.l_orderkey and m.l_linenumber = l.l_linenumber and m.l_quantity = l.l_quantity and m.l_returnflag <> 'R')""")
+def missing_links(spark, d):
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_index"), F.lit("goto").alias("kind"), F.struct("l_quantity").alias("rect"), "l_returnflag")
+    return export.missing_links(s.drop("l_returnflag"), s.where("l_returnflag <> 'R'").drop("l_returnflag")).select("doc_id", "page_index")
+
+
+@query("""select o_orderkey as doc_id, 1 as xobj_id, f as font_id, case when f = 'F1' then coalesce('form' || (o_custkey % 3), 'page') else 'page' end as name from orders, (values ('F1'), ('F2')) v(f)""")
+def scoped_fonts(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), "o_custkey")
+    pages = o.select("doc_id", "page_index", F.explode(F.array(F.lit("F1"), F.lit("F2"))).alias("font_id"), F.lit("page").alias("name"))
+    forms = o.select("doc_id", "page_index", F.lit(1).alias("xobj_id"), F.lit("F1").alias("font_id"), F.concat(F.lit("form"), (F.col("o_custkey") % 3).cast("string")).alias("name"))
+    return export.scoped_fonts(pages, forms).select("doc_id", "xobj_id", "font_id", "name")
+
+
+@query("""with p as (select conv_id as doc_id, turn, text from conversations), e as (select doc_id, min(turn) as pos from p where turn in (0, 1) group by doc_id)
+    select doc_id, turn as pos, case when turn % 2 = 0 then 'S' || turn else text end as source, text as translation, 'body' as kind from p where turn not in (0, 1) union all select doc_id, pos, 'both', 'joined', 'reference' from e""")
+def export_blocks(spark, d):
+    p = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("page_index"), F.col("turn").cast("string").alias("debug_id"), F.col("turn").alias("pos"), "text")
+    sources = p.where("pos % 2 = 0").select("doc_id", "page_index", "debug_id", F.concat(F.lit("S"), "debug_id").alias("source"))
+    entries = p.select("doc_id", "page_index").distinct().select("doc_id", "page_index", F.lit("e").alias("entry_id"), F.array(F.lit("0"), F.lit("1")).alias("parents"), F.lit("both").alias("source"), F.lit("joined").alias("text"), F.lit("reference").alias("kind"))
+    return export.export_blocks(p, sources, entries).drop("page_index")
+
+
+@query()
+def export_pages(spark, d):
+    return export.export_pages(export_blocks(spark, d).withColumn("page_index", F.lit(0)))
+
+
+_PARTS_SQL = "parts as (select l_orderkey as doc_id, (l_linenumber * 4 - 4)::int as first, (l_linenumber * 4 - 4 + l_quantity % 6)::int as last from lineitem)"
+
+
+def _parts(spark, d):
+    n = F.col("l_linenumber") * 4 - 4
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.cast("int").alias("first"), (n + F.col("l_quantity") % 6).cast("int").alias("last"), F.lit("x").alias("sha256"))
+
+
+@query(f"""with {_PARTS_SQL}, m as (select *, max(last) over (partition by doc_id order by first, last rows between unbounded preceding and 1 preceding) as e from parts) select doc_id, first, last from m where first <= e""")
+def overlapping_parts(spark, d):
+    return export.overlapping_parts(_parts(spark, d)).select("doc_id", "first", "last")
+
+
+@query(f"""with {_PARTS_SQL}, s as (select o_orderkey as doc_id, unnest(range(4))::int as page_index from orders) select s.doc_id, s.page_index from s where not exists (select 1 from parts p where p.doc_id = s.doc_id and s.page_index between first and last)""")
+def uncovered_pages(spark, d):
+    s = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("page_index"))
+    return export.uncovered_pages(s, _parts(spark, d))
+
+
+@query(f"""with {_PARTS_SQL}, m as (select *, max(last) over (partition by doc_id order by first, last rows between unbounded preceding and 1 preceding) as e from parts),
+    s as (select o_orderkey as doc_id, unnest(range(3))::int as page_index from orders), u as (select doc_id from s where not exists (select 1 from parts p where p.doc_id = s.doc_id and s.page_index between first and last)), b as (select doc_id from m where first <= e union select doc_id from u)
+    select doc_id, count(*) as n_parts, sum(last - first + 1)::bigint as n_pages from parts where doc_id not in (select doc_id from b) group by doc_id""")
+def manifests(spark, d):
+    s = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("page_index"))
+    return export.manifest(s, _parts(spark, d)).select("doc_id", "n_parts", "n_pages")
+
+
+@query(f"""with {LINES}, p as (select distinct doc_id, page_index from lines), g as (select *, page_index // 2 as k from p) select doc_id, min(page_index) as first, max(page_index) as last, row_number() over (partition by doc_id order by not (1 between min(page_index) and max(page_index)), min(page_index)) as turn from g group by doc_id, k""")
+def chunks(spark, d):
+    pages = text_lines(spark, d).select("doc_id", F.col("page_index").cast("long").alias("page_index")).distinct()
+    return export.chunks(pages, limit=2, focus=1).select("doc_id", "first", "last", F.col("turn").cast("long").alias("turn"))
+
+
+@query("""with s as (select o_custkey as root, o_orderkey as path, sum(o_totalprice::bigint) over (partition by o_custkey order by o_orderdate desc, o_orderkey rows unbounded preceding) as s, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as n from orders) select root, path from s where n > 1 and s > 400000""")
+def evicted_files(spark, d):
+    c = table(spark, d, "orders").select(F.col("o_custkey").alias("root"), F.col("o_orderkey").alias("path"), F.bround("o_totalprice").cast("long").alias("bytes"), F.col("o_orderdate").alias("used_at"))
+    return export.evicted(c, 400_000).select("root", "path")
+
+
+@query("select sha256(text) as sha256, count(*) as copies from documents group by 1")
+def resources_by_content(spark, d):
+    return export.one_of_each(table(spark, d, "documents").select(F.col("text").cast("binary").alias("content"))).select("sha256", "copies")
+
+
+@query("""select o_orderkey as doc_id, unnest(range(o_custkey % 5, o_custkey % 5 + 4))::int as page_index from orders where o_custkey % 3 > 0 union all select o_orderkey, unnest(range(12))::int from orders where o_custkey % 3 = 0""")
+def selected_pages(spark, d):
+    k = F.col("o_custkey") % 5
+    spec = F.when(F.col("o_custkey") % 3 > 0, F.concat_ws(",", F.concat_ws("-", k + 1, k + 3), (k + 4).cast("string"), (k + 2).cast("string"))).otherwise("")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(export.selected_pages(spec, F.lit(12))).alias("page_index"))
+
+
+@query()
+def isolated_pages(spark, d):
+    return export.isolated(table(spark, d, "documents").select("doc_id", "n_chars"), lambda r: 1000 // (r["n_chars"] % 7), "long")
+
+
+@query("""select page_id as doc_id, 0 as page_index from pages where length(trim(html)) >= 20 and page_id % 3 = 0""")
+def empty_outputs(spark, d):
+    p = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("page_index"), F.col("html").alias("text"))
+    return quality.empty_outputs(p, p.withColumn("text", F.when(F.col("doc_id") % 3 > 0, F.col("text")).otherwise("")))
+
+
+# -- relational additions ------------------------------------------------------
+
+
+@query("""select l_returnflag, l_linestatus, sum(l_quantity::decimal(28,4))::double as sum_qty, sum((l_extendedprice * (1 - l_discount))::decimal(28,4))::double as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
+def pricing_summary(spark, d):
+    t = table(spark, d, "lineitem").where("l_shipdate <= timestamp '1998-09-02'")
+    return t.groupBy("l_returnflag", "l_linestatus").agg(relational.exact_sum(F.col("l_quantity")).alias("sum_qty"), relational.exact_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""select l_orderkey, sum((l_extendedprice * (1 - l_discount))::decimal(28,4))::double as revenue, any_value(o_orderpriority) as priority from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where c_mktsegment = 'BUILDING' group by l_orderkey order by revenue desc, l_orderkey limit 10""")
+def top_orders(spark, d):
+    c, o, t = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), table(spark, d, "orders"), table(spark, d, "lineitem")
+    j = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(t, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy("l_orderkey").agg(relational.exact_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.first("o_orderpriority").alias("priority")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
+
+
+@query("""select r_name, n_name, sum(o_totalprice::decimal(28,4))::double as total, count(*) as n from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey group by all""")
+def sales_by_nation(spark, d):
+    j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy("r_name", "n_name").agg(relational.exact_sum(F.col("o_totalprice")).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""select coalesce(s_nationkey, c_nationkey) as nation, count(distinct s_suppkey) as suppliers, count(distinct c_custkey) as customers from (select * from supplier where s_suppkey % 3 = 0) full join (select * from customer where c_custkey % 50 = 0) on s_nationkey = c_nationkey group by all""")
+def full_outer(spark, d):
+    s, c = table(spark, d, "supplier").where("s_suppkey % 3 = 0"), table(spark, d, "customer").where("c_custkey % 50 = 0")
+    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "full").groupBy(F.coalesce("s_nationkey", "c_nationkey").alias("nation")).agg(F.count_distinct("s_suppkey").alias("suppliers"), F.count_distinct("c_custkey").alias("customers"))
+
+
+@query("""select c_custkey from customer where c_acctbal > 0 and not exists (select 1 from orders where o_custkey = c_custkey) union all select c_custkey from customer where c_acctbal <= 0 and exists (select 1 from orders where o_custkey = c_custkey)""")
+def semi_and_anti(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return c.where("c_acctbal > 0").join(o, "c_custkey", "left_anti").select("c_custkey").unionByName(c.where("c_acctbal <= 0").join(o, "c_custkey", "left_semi").select("c_custkey"))
+
+
+@query("""with s as (select user_id, ts, event_id, value from events where event_type = 'signup') select e.event_id, s.event_id as asof_event_id from (select * from events where event_type = 'error') e asof left join s on e.user_id = s.user_id and e.ts >= s.ts""")
+def as_of_signup(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return relational.as_of(e.where("event_type = 'error'"), e.where("event_type = 'signup'"), "user_id", "ts", "ts", ["event_id"]).select("event_id", "asof_event_id")
+
+
+@query("""with i as (select user_id, event_id as start_id, event_id + 500 as end_id from events where event_type = 'signup') select e.event_id, i.start_id from events e join i on i.user_id = e.user_id and e.event_id >= start_id and e.event_id < end_id where e.event_type = 'view'""")
+def in_interval(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    i = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("start_id"), (F.col("event_id") + 500).alias("end_id"))
+    return relational.in_interval(e.where("event_type = 'view'"), i, "user_id", "event_id", "start_id", "end_id", 500).select("event_id", "start_id")
+
+
+_CUBE = "sum(l_quantity::decimal(28,4))::double as qty, count(*) as n from lineitem"
+
+
+@query(f"select l_returnflag, l_linestatus, {_CUBE} group by cube (l_returnflag, l_linestatus)")
+def cubed(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(relational.exact_sum(F.col("l_quantity")).alias("qty"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select l_returnflag, l_linestatus, {_CUBE} group by rollup (l_returnflag, l_linestatus)")
+def rolled_up(spark, d):
+    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(relational.exact_sum(F.col("l_quantity")).alias("qty"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select l_returnflag, l_linestatus, {_CUBE} group by grouping sets ((l_returnflag), (l_linestatus))")
+def grouping_sets(spark, d):
+    a, b = F.col("l_returnflag"), F.col("l_linestatus")
+    return table(spark, d, "lineitem").groupingSets([[a], [b]], a, b).agg(relational.exact_sum(F.col("l_quantity")).alias("qty"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""select o_orderpriority, count_if(o_orderstatus = 'F') as f, count_if(o_orderstatus = 'O') as o, count_if(o_orderstatus = 'P') as p from orders group by 1""")
+def pivoted(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().select("o_orderpriority", *(F.coalesce(c, F.lit(0)).cast("long").alias(c.lower()) for c in "FOP"))
+
+
+@query("""select o_orderkey, rank() over w as rnk, dense_rank() over w as dense, ntile(4) over (partition by o_custkey order by o_totalprice, o_orderkey) as quarter, percent_rank() over w as pct, cume_dist() over w as cume, lag(o_orderkey) over (partition by o_custkey order by o_totalprice, o_orderkey) as prev from orders window w as (partition by o_custkey order by o_totalprice)""")
+def ranks(spark, d):
+    w, u = Window.partitionBy("o_custkey").orderBy("o_totalprice"), Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", F.rank().over(w).cast("long").alias("rnk"), F.dense_rank().over(w).cast("long").alias("dense"), F.ntile(4).over(u).cast("long").alias("quarter"), F.percent_rank().over(w).alias("pct"), F.cume_dist().over(w).alias("cume"), F.lag("o_orderkey").over(u).alias("prev"))
+
+
+@query("""select event_id, sum(value::decimal(28,4)) over (partition by user_id order by event_id rows between 2 preceding and current row)::double as rows3, max(value) over (partition by user_id order by event_id range between 100 preceding and 100 following) as near from events""")
+def frames(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, d, "events").select("event_id", F.sum(F.col("value").cast("decimal(28,4)")).over(w.rowsBetween(-2, 0)).cast("double").alias("rows3"), F.max("value").over(w.rangeBetween(-100, 100)).alias("near"))
+
+
+@query("""(select p_brand, p_type from part where p_size > 25 intersect select p_brand, p_type from part where p_size <= 25) union (select p_brand, p_type from part where p_retailprice > 1500 except select p_brand, p_type from part where p_size < 5)""")
+def set_operations(spark, d):
+    p = table(spark, d, "part")
+    pick = lambda c: p.where(c).select("p_brand", "p_type")
+    return pick("p_size > 25").intersect(pick("p_size <= 25")).union(pick("p_retailprice > 1500").subtract(pick("p_size < 5"))).distinct()
+
+
+@query("""select year(o_orderdate)::int as y, quarter(o_orderdate)::int as q, strftime(date_trunc('month', o_orderdate), '%Y-%m') as month, count(*) as n, max(date_diff('day', o_orderdate::date, date '1999-01-01'))::int as age from orders group by all""")
+def by_date(spark, d):
+    o = F.col("o_orderdate")
+    return table(spark, d, "orders").groupBy(F.year(o).alias("y"), F.quarter(o).alias("q"), F.date_format(F.date_trunc("month", o), "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.max(F.datediff(F.lit("1999-01-01").cast("date"), o.cast("date"))).alias("age"))
+
+
+@query("""select epoch(time_bucket(interval '1 hour', ts))::bigint as start, event_type, count(*) as n, sum(value::decimal(28,4))::double as total from events group by all""")
+def tumbling(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), relational.exact_sum(F.col("value")).alias("total")).select(F.unix_timestamp("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("""with b as (select event_type, epoch(time_bucket(interval '30 minutes', ts))::bigint as s from events), w as (select event_type, s as start from b union all select event_type, s - 1800 from b) select start, event_type, count(*) as n from w group by all""")
+def sliding(spark, d):
+    return jobs.windows(table(spark, d, "events"), "1 hour", "30 minutes").select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '6 hours' then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+    select user_id, floor(epoch(min(ts)))::bigint as start, count(*) as n from s group by user_id, k""")
+def user_sessions(spark, d):
+    return jobs.sessions(table(spark, d, "events"), "6 hours").select("user_id", F.unix_timestamp("start").alias("start"), "n")
+
+
+@query("""with recursive e as (select l_partkey as src, l_suppkey as dst from lineitem where l_quantity > 49), r as (select 1::bigint as node union select e.dst from r join e on e.src = r.node) select node from r""")
+def reachable(spark, d):
+    shared_folder(spark)
+    e = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return relational.reachable(e, spark.range(1, 2).withColumnRenamed("id", "node"))
+
+
+@query()
+def approximate(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median_qty"))
+
+
+@query("""select event_type, json_extract_string(props, '$.k')::int as k, count(*) as n from events group by all""")
+def json_fields(spark, d):
+    return table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select label, count(*) as n, round(avg(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 3) as norm from embeddings group by label""")
+def vector_norms(spark, d):
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(norm), 3).alias("norm"))
