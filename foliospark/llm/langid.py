@@ -82,7 +82,7 @@ class Model:
             one, zero = share[column > 0].mean(axis=0), share[column < 0].mean(axis=0)
             weights.append(np.log(one / zero))
             trust.append(np.maximum(column * (share @ weights[-1]), 1e-6))
-        self.weights = np.array(weights, dtype=np.float32).reshape(len(weights), -1).T
+        self.weights = np.array(weights, dtype=np.float32).reshape(len(weights), counts.shape[1]).T
         self.trust = np.array(trust).T if trust else self.code
         self.trust = self.trust / self.trust.sum(axis=1, keepdims=True) if trust else self.trust
 

@@ -3,7 +3,7 @@
 The trie's contexts are the last bytes before a byte, across words and back to the
 text's start at most. Where a context has not seen a byte, the model escapes to the
 context shorter by one byte and leaves out the bytes that the longer one has seen
-(method C, with exclusion); below the empty context all remaining bytes are alike.
+(method D, with exclusion); below the empty context all remaining bytes are alike.
 The trie is pretrained: counts of windows of order + 1 bytes over all training texts
 give the counts of all shorter ones.
 
@@ -164,8 +164,10 @@ class Trie:
         shorter = np.where(length > 1, (length - np.uint64(1)) << np.uint64(56) | grams & ((np.uint64(1) << byte * np.maximum(length, np.uint64(1)) - byte) - np.uint64(1)), np.uint64(0))
         below = self.entries.find(shorter)
         self.excluded = np.bincount(node[good], weights=np.where((below >= 0) & (length > 1), n[below], 0.0)[good], minlength=len(contexts))
-        self.log_count = np.log10(n)
-        self.room, self.escape = seen + kinds, np.log10(np.maximum(seen - kept, 0) + kinds)
+        # Method D: each kind of byte gives half a count to the escape; what was cut from the trie escapes whole.
+        self.log_count = np.log10(n - 0.5)
+        self.room, self.escape = seen, np.log10(np.maximum(seen - kept, 0) + kinds / 2)
+        self.excluded = self.excluded - kinds / 2
         #: Of a byte that its longest context has seen.
         self.direct = np.where(node >= 0, self.log_count - np.log10(np.maximum(self.room[node], 1e-9)), np.nan)
         self.bottom = -np.log10(max(1.0, 257 - (kinds[found[0]] if (found := self.nodes.find(np.zeros(1, dtype=np.uint64)))[0] >= 0 else 0)))
