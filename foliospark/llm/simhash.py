@@ -34,23 +34,38 @@ FAN = 8
 STEP = 1 << 18
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles of a text in UTF-8, A-Z lower-cased.
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
 
-    Fewer words than ``shingle``: all of them are the one shingle. No words or null: 0.
-    """
-    words = (text or b"").lower().split()
+
+def _majority(words: list[bytes], shingle: int, seed: int, others: int = 0) -> list[int]:
+    """SimHash of word shingles, and ``others`` more whose bits come from the same hashes mixed anew."""
     if not words:
-        return 0
+        return [0] * (1 + others)
     n = max(1, len(words) - shingle + 1)
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros((1 + others, 64), dtype=np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for start in range(0, n, 1 << 16):
         stop = min(n, start + (1 << 16))
         hashes = np.fromiter((digest(join(words[i : i + shingle]), seed) for i in range(start, stop)), dtype="<u8", count=stop - start)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        for k in range(1 + others):
+            if k:  # the finaliser of the SplitMix64 generator
+                mixed = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & FULL)
+                mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                mixed ^= mixed >> np.uint64(31)
+            else:
+                mixed = hashes
+            counts[k] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """SimHash of the word shingles of a text in UTF-8, A-Z lower-cased.
+
+    Fewer words than ``shingle``: all of them are the one shingle. No words or null: 0.
+    """
+    return _majority(_words(text), shingle, seed)[0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -115,9 +130,10 @@ class GrayIndex:
                     todo.append((level - 1, below_a[near], below_b[near]))
 
 
-def forest(n: int, batches) -> np.ndarray:
-    """The smallest place of each place's component, from batches of linked places."""
+def forest(n: int, batches) -> tuple[np.ndarray, np.ndarray]:
+    """Linked places that span the components of all links in the batches; fewer than n, each a link itself."""
     label = np.arange(n)
+    found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for a, b in batches:
         while True:
             x, y = label[a], label[b]
@@ -125,40 +141,43 @@ def forest(n: int, batches) -> np.ndarray:
             if not apart.any():
                 break
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            # Each component hooks onto one with a smaller label, by one link.
+            top, at = np.unique(np.maximum(x, y), return_index=True)
+            label[top] = np.minimum(x, y)[at]
+            found_a.append(a[at])
+            found_b.append(b[at])
             while (flat := label[label]).tobytes() != label.tobytes():
                 label = flat
-    return label
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def _forests(radius: int, flush: int):
-    """For mapInArrow over rows (mask, pattern, fp) in that order: edges (a, b) that span each pattern's links."""
-
-    def edges(mask: np.ndarray, prints: np.ndarray):
-        for exact in np.unique(mask):
-            index = GrayIndex(np.unique(prints[mask == exact]), int(exact))
-            label = forest(len(index.prints), index.links(radius))
-            at = np.nonzero(label != np.arange(len(label)))[0]
-            if len(at):
+    """For mapInArrow over rows (space, mask, pattern, fp) in that order: links (space, a, b) that span each pattern's."""
+
+    def edges(got: np.ndarray):
+        for space, exact in np.unique(got[:2], axis=1).T:
+            own = (got[0] == space) & (got[1] == exact)
+            index = GrayIndex(np.unique(got[3, own]), int(exact))
+            a, b = forest(len(index.prints), index.links(radius))
+            if len(a):
                 ends = index.prints.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[at]), pa.array(ends[label[at]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), int(space), dtype=np.int64)), pa.array(ends[a]), pa.array(ends[b])], names=["space", "a", "b"])
 
     def run(batches):
         kept: list[np.ndarray] = []
         rows = 0
         for batch in batches:
-            kept.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3)]))
+            kept.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(4)]))
             rows += batch.num_rows
             if rows >= flush:
                 got = np.concatenate(kept, axis=1)
-                last = (got[0] == got[0, -1]) & (got[1] == got[1, -1])  # its pattern may go on
+                last = (got[:3] == got[:3, -1:]).all(axis=0)  # its pattern may go on
                 if not last.all():
-                    yield from edges(got[0, ~last], got[2, ~last])
+                    yield from edges(got[:, ~last])
                 kept = [got[:, last]]
                 rows = int(last.sum())
         if rows:
-            got = np.concatenate(kept, axis=1)
-            yield from edges(got[0], got[2])
+            yield from edges(np.concatenate(kept, axis=1))
 
     return run
 
@@ -174,27 +193,31 @@ def _blocks(free: int, parts: int) -> list[int]:
 
 
 def link(prints: DataFrame, radius: int = 3, capacity: int = 50_000) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints of ``prints`` (column fp) as all links within ``radius`` do."""
-    prints = prints.select("fp").distinct()
+    """Links (space, a, b) that connect the distinct fingerprints (space, fp) as all links within ``radius`` do.
+
+    Each is a link itself. Fingerprints of different spaces are never linked.
+    """
+    prints = prints.select(F.col("space").cast("long").alias("space"), "fp").distinct()
+    key = ["space", "mask", "pattern"]
     found = None
-    level = {m: None for m in _blocks(FULL, radius + 1)}
-    rows = prints.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in level))).alias("mask"))
+    level = set(_blocks(FULL, radius + 1))
+    rows = prints.select("space", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m in sorted(level)))).alias("mask"))
     while True:
-        rows = checkpointed(rows.select("mask", F.expr("fp & mask").alias("pattern"), "fp"))
+        rows = checkpointed(rows.select("space", "mask", F.expr("fp & mask").alias("pattern"), "fp"))
         total = rows.count()
         few = all(bin(FULL & ~m).count("1") <= 16 for m in level)
-        hot = rows.groupBy("mask", "pattern").count().where(F.col("count") > capacity).drop("count") if not few else None
-        heavy = hot is not None and bool(hot.limit(1).count())
-        cold = rows.join(hot, ["mask", "pattern"], "left_anti") if heavy else rows
+        hot = rows.groupBy(*key).count().where(F.col("count") > capacity).drop("count") if not few else None
+        heavy = hot is not None and not hot.isEmpty()
+        cold = rows.join(hot, key, "left_anti") if heavy else rows
         width = shuffle_width(rows, total, 4 * capacity)
-        part = cold.repartition(width, "mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(_forests(radius, capacity), "a long, b long")
+        part = cold.select("space", "mask", "pattern", "fp").repartition(width, *key).sortWithinPartitions(*key).mapInArrow(_forests(radius, capacity), "space long, a long, b long")
         found = part if found is None else found.unionByName(part)
         if not heavy:
             return found
         finer = {m: [m | x for x in _blocks(FULL & ~m, radius + 1)] for m in level if bin(FULL & ~m).count("1") > 16}
         split = F.create_map(*(y for m, x in finer.items() for y in (F.lit(_signed(m)), F.array(*(F.lit(_signed(i)) for i in x)))))
-        level = {m: None for x in finer.values() for m in x}
-        rows = rows.join(hot, ["mask", "pattern"], "left_semi").select("fp", F.explode(split[F.col("mask")]).alias("mask")).distinct()
+        level = {m for x in finer.values() for m in x}
+        rows = rows.join(hot, key, "left_semi").select("space", "fp", F.explode(split[F.col("mask")]).alias("mask")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, capacity: int = 50_000) -> DataFrame:
@@ -208,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    star = stars(link(nodes, radius, capacity))
+    star = stars(link(nodes.withColumn("space", F.lit(0)), radius, capacity).select("a", "b"))
     member = checkpointed(star.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct()))
     first = nodes.join(member, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = member.join(first, "root").select("fp", "component_id", F.lit(True).alias("linked"))
@@ -221,15 +244,68 @@ def as_hex(fp) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest id of each component, with all their columns.
+def _resemble(shingle: int, similarity: float):
+    """For mapInArrow over (a, b, text_a, text_b): the pairs whose shingle sets have that Jaccard similarity."""
+
+    def shingles(text: bytes | None) -> set[bytes]:
+        words = _words(text)
+        return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, last, own = [], None, set()
+        for a, b in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
+            if b != last:
+                last, own = b, shingles(b)
+            other = shingles(a)
+            keep.append(len(own & other) >= similarity * len(own | other))
+        return batch.filter(pa.array(keep)).select(["a", "b"])
+
+    return arrow_rows(run, text=2, size=1 << 22)
 
-    Rows of one id stay or go together; rows without an id stay. Only rows whose id
-    a bitmap can't tell from a dropped one are shuffled.
+
+def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, candidate_shingle: int = 2, tries: int = 12, radius: int = 3, seed: int = 42, capacity: int = 50_000) -> DataFrame:
+    """Pairs (a, b) of ids of texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``.
+
+    Candidates: links within ``radius`` in any of ``tries`` fingerprints of
+    ``candidate_shingle`` words, each by the index above, as links that span its
+    components; so there are fewer than documents times fingerprints, however large
+    a group is. Each candidate's texts are then compared exactly. Texts without
+    words resemble each other. Rows without an id have no pairs.
+    """
+
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [_majority(_words(x), candidate_shingle, seed, tries - 1) for x in utf8(batch.column(1))]
+        flat = np.array(found, dtype=np.uint64).view(np.int64).ravel()
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * tries, pa.int32()), pa.array(flat))], names=["id", "fps"])
+
+    rows = narrow(docs, id=id_col, text=text_col).where("id is not null")
+    kind = dict(rows.dtypes)["id"]
+    prints = checkpointed(rows.mapInArrow(arrow_rows(score, text=1, size=1 << 22), f"id {kind}, fps array<long>").select("id", F.posexplode("fps").alias("space", "fp")).select("id", F.col("space").cast("long").alias("space"), "fp"))
+    nodes = checkpointed(prints.groupBy("space", "fp").agg(F.min("id").alias("first")))
+    linked = link(nodes, radius, capacity)
+    ends = linked.join(nodes.select("space", F.col("fp").alias("a"), F.col("first").alias("x")), ["space", "a"]).join(nodes.select("space", F.col("fp").alias("b"), F.col("first").alias("y")), ["space", "b"]).select("x", "y")
+    same = prints.join(nodes, ["space", "fp"]).where("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y"))
+    pairs = checkpointed(ends.unionByName(same).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("key"))
+    bitmap = Bitmap(ids, "key")
+    texts = rows.where(bitmap.column(F.xxhash64("id")))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_resemble(shingle, similarity), f"a {kind}, b {kind}").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, similarity: float | None = 0.8) -> DataFrame:
+    """The rows of ``docs`` without all but the smallest id of each group, with all their columns.
+
+    A group: what links of ``near_duplicates`` connect and, with a ``similarity``,
+    pairs that share that much of their five-word shingles (``resembling``). Rows of
+    one id stay or go together; rows without an id stay. Only rows whose id a bitmap
+    can't tell from a dropped one are shuffled.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius, seed)
-    first = F.max(F.col("doc_id") == F.col("component_id"))
-    dropped = checkpointed(found.where("doc_id is not null").groupBy("doc_id").agg(first.alias("first")).where("not first").select("doc_id", F.xxhash64("doc_id").alias("key")))
+    found = checkpointed(near_duplicates(docs, id_col, text_col, shingle, radius, seed).where("doc_id is not null").select("doc_id", "component_id").where("doc_id <> component_id"))
+    edges = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    if similarity is not None:
+        edges = edges.unionByName(resembling(docs, id_col, text_col, 5, similarity, radius=radius, seed=seed))
+    dropped = checkpointed(stars(edges).select(F.col("a").alias("doc_id"), F.xxhash64("a").alias("key")).distinct())
     bitmap = Bitmap(dropped, "key")
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id")).withColumn("listed", bitmap.column(F.xxhash64("id")))
     rest = keyed.where("listed").join(dropped, F.col("id") == dropped["doc_id"], "left_anti")

@@ -64,9 +64,9 @@ def test_hot_patterns_are_refined(spark):
     """A capacity of 8 sends nearly all patterns through every level; the links stay the same."""
     random.seed(5)
     prints = {0xABCD << 48 | random.getrandbits(6) << 20 | random.getrandbits(5) for _ in range(300)} | {random.getrandbits(64) for _ in range(200)}
-    df = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    df = spark.createDataFrame([(0, simhash._signed(p)) for p in prints], "space int, fp long")
     for capacity in (8, 50_000):
-        stars = {r.a & simhash.FULL: r.b for r in components.stars(simhash.link(df, 3, capacity)).collect()}
+        stars = {r.a & simhash.FULL: r.b for r in components.stars(simhash.link(df, 3, capacity).select("a", "b")).collect()}
         group = {p: i for i, p in enumerate(sorted(prints))}
         for a, b in itertools.combinations(sorted(prints), 2):
             if bin(a ^ b).count("1") <= 3 and group[a] != group[b]:
@@ -97,12 +97,36 @@ def test_components_of_chains_and_hubs(spark):
     assert components.stars(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jaccard(a, b):
+    def sets(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    x, y = sets(a), sets(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_resembling_pairs_are_exact_and_span_their_groups(spark):
+    rows = near_copies(120, 4) + [(1, ""), (2, None), (None, "x y z")]
+    got = [(r.a, r.b) for r in simhash.resembling(spark.createDataFrame(rows, DOC)).collect()]
+    text = dict(rows)
+    assert all(a > b and jaccard(text[a], text[b]) >= 0.8 for a, b in got)
+    near = {(a, b) for a in text for b in text if a is not None and b is not None and a > b and jaccard(text[a], text[b]) >= 0.8}
+    root = {i: i for i in text}
+    for a, b in got:
+        root = {i: min(root[a], root[b]) if r in (root[a], root[b]) else r for i, r in root.items()}
+    assert sum(root[a] == root[b] for a, b in near) >= 0.97 * len(near) > 100 and len(got) < 12 * len(rows)
+
+
 def test_drop_near_duplicates_keeps_one_of_each(spark):
     rows = near_copies(60)
     df = spark.createDataFrame(rows, DOC).withColumn("row", F.lit(3)).withColumn("key", F.lit("k"))
-    got = simhash.drop_near_duplicates(df)
+    got = simhash.drop_near_duplicates(df, similarity=None)
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted({c for _, _, c in brute_components(rows)})
+    more = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    text = dict(rows)
+    assert more < {r.doc_id for r in got.collect()} and all(i in more or any(jaccard(text[i], text[k]) > 0.6 for k in more) for i in text)
 
 
 @pytest.mark.parametrize("capacity", [1, 1000])

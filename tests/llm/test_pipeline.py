@@ -25,7 +25,11 @@ def test_stages(spark, tmp_path):
     out = [*seen[1:], docs]
     assert ids(out[0]) == ids(quality_rules.judged(seen[0]).where("kept"))
     assert ids(out[1]) == ids(exact.exact_duplicates(seen[1]).where("kept"))
-    assert ids(out[2]) == ids(simhash.near_duplicates(seen[2]).where("doc_id = component_id"))
+    edges = simhash.resembling(seen[2]).unionByName(simhash.near_duplicates(seen[2]).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    root = {i: i for i in ids(seen[2])}
+    for a, b in edges.collect():
+        root = {i: min(root[a], root[b]) if r in (root[a], root[b]) else r for i, r in root.items()}
+    assert ids(out[2]) == sorted(set(root.values()))
     taken = mixing.mixed(seen[3]).where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     assert ids(out[3]) == ids(taken)
     assert ids(out[4]) == ids(out[3]) and docs.where("not round_trip").count() == 0
