@@ -5,10 +5,11 @@ Glyphs: doc_id, page_index, ch, x, y, x2, y2, font_id, font_size, pos (a page's
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pages import by_group, fields
+
 PAGE = ["doc_id", "page_index"]
 
 
@@ -30,12 +31,11 @@ def baseline_lines(y: list[float], size: list[float], share: float = 0.35) -> li
 def lines(glyphs: DataFrame) -> DataFrame:
     """The glyphs with ``line``; a page is one group, which its size bounds."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x", "pos"], ascending=[False, True, True], kind="stable")
-        return page.assign(line=baseline_lines(page["y"].tolist(), page["font_size"].tolist()))
+    def run(page: list):
+        found = baseline_lines([r.y for r in page], [r.font_size for r in page])
+        return ((*r, line) for r, line in zip(page, found, strict=True))
 
-    schema = ", ".join(f"{n} {t}" for n, t in glyphs.dtypes) + ", line int"
-    return glyphs.groupBy(*PAGE).applyInPandas(run, schema)
+    return by_group(glyphs, PAGE, [F.desc("y"), "x", "pos"], run, f"{fields(glyphs)}, line int")
 
 
 def segments(glyphs: DataFrame) -> DataFrame:
