@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, held_out, parts, text_or_empty, utf8
 
 #: Words of a partition that are counted before they are handed on; words that a worker remembers.
-COUNTED, REMEMBERED = 1 << 19, 1 << 18
+COUNTED, REMEMBERED = 1 << 18, 1 << 17
 #: Bytes of texts handled in one vectorised step.
 STEP = 1 << 20
 #: The end of a text, in the place of a word's first byte. Words hold no white space.
@@ -89,10 +89,10 @@ def _count(order: int):
                 words.update(w)
             held.append(np.unique(_windows(part, order)[0], return_counts=True))
             size += len(held[-1][0])
-            if size > 1 << 22:
+            if size > 1 << 21:
                 held = [_sum(held)]
                 size = len(held[0][0])
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield out_windows()
                     held, size = [], 0
             if len(words) > COUNTED:
