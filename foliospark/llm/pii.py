@@ -32,11 +32,11 @@ SHAPES = {
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,}|(?<=[=:\"' ])(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "assigned": r"(?i:(?<![a-z])(?:api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|auth)\s?[=:]\s?[\"']?)(?P<value>[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]*)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "ip": r"(?<![0-9])(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}(?P<mark>[ -])[0-9]{4}(?P=mark)[0-9]{4}(?P=mark)[0-9]{1,7}(?![0-9])|(?<![0-9])3[47][0-9]{2}(?P<sign>[ -])[0-9]{6}(?P=sign)[0-9]{5}(?![0-9])",
 }
 _SHAPE = re.compile("|".join(f"(?P<{name}>{shape})" for name, shape in SHAPES.items()))
 _HINT = re.compile("[0-9@]")
@@ -199,15 +199,17 @@ class Pseudonyms:
         """(the text with pseudonyms, the kinds of the values replaced, in order)."""
         if not _HINT.search(text):
             return text, []
-        out, kinds, end = [], [], 0
-        for found in _SHAPE.finditer(text):
-            kind = found.lastgroup if found.lastgroup != "value" else "assigned"
+        out, kinds, end, at = [], [], 0, 0
+        while found := _SHAPE.search(text, at):
+            kind = next(name for name in SHAPES if found[name] is not None)
             start, stop = found.span("value") if kind == "assigned" else found.span()
             new = self.of(kind, text[start:stop], inverse)
-            if new is not None:
-                out += [text[end:start], new]
-                end = stop
-                kinds.append("secret" if kind == "assigned" else kind)
+            if new is None:
+                at = found.start() + 1  # a valid value may begin within
+                continue
+            out += [text[end:start], new]
+            end = at = stop
+            kinds.append("secret" if kind == "assigned" else kind)
         return "".join([*out, text[end:]]), kinds
 
 
