@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.geometry import quadrant
+from .pages import by_group
 
 PAGE = ["doc_id", "page_index"]
 
@@ -80,3 +81,73 @@ def prose_pages(paragraphs: DataFrame) -> DataFrame:
     start = F.regexp_replace(F.lower(F.substring("text", 1, 300)), "[ \\t\\n\\r]", "").rlike("wasborn|graduatedfrom|received[a-z'.]*(?:degree|ph\\.?d|bachelor|master|doctor|[bm]\\.?s)")
     sums = paragraphs.groupBy(*PAGE).agg(F.sum(start.cast("int")).alias("n"), F.bool_or(F.col("text").rlike(T.REFERENCE_MARKER)).alias("m"))
     return sums.where("n >= 2 and not m").select(*PAGE)
+
+
+def image_shares(images: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page_index, image_share): the images' areas over the page's, at most 1; pages without images have 0."""
+    sums = images.groupBy(*PAGE).agg(F.sum(F.greatest(F.col("x2") - F.col("x"), F.lit(0.0)) * F.greatest(F.col("y2") - F.col("y"), F.lit(0.0))).alias("_a"))
+    share = F.least(F.coalesce("_a", F.lit(0.0)) / (F.col("width") * F.col("height")), F.lit(1.0))
+    return pages.join(sums, PAGE, "left").select(*PAGE, share.alias("image_share"))
+
+
+def text_formulas(formulas: DataFrame) -> DataFrame:
+    """Formulas that are really text: no curves or forms, no mathematical sign or Greek letter, no mathematical font.
+
+    formulas: curves, forms (numbers), chars, fonts (arrays).
+    """
+    signs = r"[Ͱ-Ͽ∀-⋿⨀-⫿=+<>±×÷√∞]"
+    plain = F.forall("chars", lambda c: ~c.rlike(signs)) & F.forall("fonts", lambda f: ~F.lower(f).rlike("math|symbol|cmmi|cmsy|cmex|stix"))
+    return formulas.where((F.col("curves") == 0) & (F.col("forms") == 0) & plain)
+
+
+def checked_entries(entries: DataFrame, most: int = 10_000) -> DataFrame:
+    """Entries of known kinds with texts of at most 40,000 and labels of at most 16 characters of a label's shape.
+
+    An error if a document has more than ``most`` of them.
+    """
+    good = entries.where(F.col("kind").isin("reference", "list", "toc") & (F.char_length("text") <= 40_000) & (F.char_length("label") <= 16) & F.col("label").rlike(r"^(?:|[(\[（]?[0-9A-Za-z.]{1,12}[.)\]）、]?|[•◦▪‣●○–*])$"))
+    sizes = good.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ok", F.assert_true(F.col("_n") <= most, F.lit("too many entries")))
+    return good.join(sizes.where("_ok is null").select("doc_id"), "doc_id")
+
+
+def label_glyphs(entries: DataFrame) -> DataFrame:
+    """``n_label``: how many of an entry's glyphs (array ``chars``, in order) make up its label, blanks aside; null if they don't.
+
+    One pass along the array: what is put together so far, and where it was the label.
+    """
+    want = F.regexp_replace("label", "[ \\t]", "")
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("seen"), F.lit(None).cast("int").alias("at"))
+
+    def step(a, c):
+        text = F.concat(a["text"], F.regexp_replace(c, "[ \\t]", ""))
+        seen = a["seen"] + 1
+        return F.struct(F.when(a["at"].isNull(), text).otherwise(a["text"]).alias("text"), seen.alias("seen"), F.coalesce(a["at"], F.when(text == want, seen)).alias("at"))
+
+    return entries.withColumn("n_label", F.when(want == "", F.lit(0)).otherwise(F.aggregate("chars", start, step, lambda a: a["at"])))
+
+
+def title_regions(words: DataFrame, near: float = 8.0, apart: float = 12.0, least: int = 8, most: int = 2) -> DataFrame:
+    """(doc_id, page_index, region, x, y, x2, y2): rows of at least ``least`` characters, near ones with a common width joined; the first two of a page.
+
+    words: text and box.
+    """
+    def run(page: list):
+        rows: list[list] = []
+        for w in page:
+            if rows and abs(rows[-1][0].y - w.y) <= near:
+                rows[-1].append(w)
+            else:
+                rows.append([w])
+        boxes: list[list[float]] = []
+        for row in rows:
+            if sum(len(w.text) for w in row) < least:
+                continue
+            box = [min(w.x for w in row), min(w.y for w in row), max(w.x2 for w in row), max(w.y2 for w in row)]
+            if boxes and boxes[-1][1] - box[3] < apart and min(box[2], boxes[-1][2]) > max(box[0], boxes[-1][0]):
+                last = boxes[-1]
+                boxes[-1] = [min(last[0], box[0]), min(last[1], box[1]), max(last[2], box[2]), max(last[3], box[3])]
+            else:
+                boxes.append(box)
+        return ((page[0].doc_id, page[0].page_index, i, *box) for i, box in enumerate(boxes[:most]))
+
+    return by_group(words, PAGE, [F.desc("y"), "x"], run, "doc_id long, page_index int, region int, x double, y double, x2 double, y2 double")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bridge
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import export, quality, relational, rows, sections, spatial
+from ..operators import export, progress, quality, relational, rows, sections, spatial
 from ..sources.files import table
 from ..streaming import jobs
 
@@ -473,6 +473,109 @@ def empty_outputs(spark, d):
     return quality.empty_outputs(p, p.withColumn("text", F.when(F.col("doc_id") % 3 > 0, F.col("text")).otherwise("")))
 
 
+# -- jobs ----------------------------------------------------------------------
+
+
+@query("""select user_id as job_id, event_type as stage, max(event_id) as peak, sum(value::decimal(28,4))::double as elapsed from events group by all""")
+def stage_costs(spark, d):
+    return progress.stage_costs(table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("bytes"), F.col("value").alias("seconds")))
+
+
+@query("""select user_id as job_id, count_if(event_type <> 'error') as done, count(*) as selected, floor(100 * count_if(event_type <> 'error') / count(*))::bigint as percent from events group by 1""")
+def job_progress(spark, d):
+    return progress.progress(table(spark, d, "events").select(F.col("user_id").alias("job_id"), (F.col("event_type") != "error").alias("done")))
+
+
+@query("""select user_id as job_id, count_if(event_type = 'view') as pending, max(case when event_type = 'view' then 1000000 - event_id end) as oldest from events group by 1""")
+def waiting_requests(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("asked_at"), F.when(F.col("event_type") != "view", F.col("event_id")).alias("answered_at"))
+    return progress.waiting(e, 1_000_000)
+
+
+@query("""with recursive f as (select user_id, event_id, value::double as v, row_number() over (partition by user_id order by event_id) as n, event_id * 0.1::double as t, event_type = 'signup' as complete from events),
+    r as (select user_id, n, event_id, t as last, true as goes from f where n = 1 union all select f.user_id, f.n, f.event_id, case when f.complete or f.t - r.last >= 50 then f.t else r.last end, f.complete or f.t - r.last >= 50 from r join f on f.user_id = r.user_id and f.n = r.n + 1)
+    select user_id as doc_id, event_id as revision from r where goes""")
+def throttled_frames(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.lit(0).alias("page_index"), F.col("event_id").alias("revision"), (F.col("event_id") * 0.1).cast("double").alias("at"), (F.col("event_type") == "signup").alias("complete"))
+    return progress.throttled(e, 50.0).select("doc_id", "revision")
+
+
+@query("""select user_id as doc_id, event_id, 100 + row_number() over (partition by user_id, event_type order by event_id) as revision from events""")
+def frame_revisions(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("page_index"), F.col("event_id").alias("pos"), "event_id")
+    return progress.revisions(e, 100).select("doc_id", "event_id", F.col("revision").cast("long").alias("revision"))
+
+
+@query("""with n as (select user_id as store, event_id as artifact_id, row_number() over (partition by user_id order by event_id // 10 desc, event_id) as n from events) select store, artifact_id from n where n <= 2""")
+def kept_artifacts(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("store"), F.col("event_id").alias("artifact_id"), F.floor(F.col("event_id") / 10).alias("used_at"))
+    return progress.kept_artifacts(e, 0).select("store", "artifact_id")
+
+
+@query("""with f as (select user_id as doc_id, event_id as revision, event_id % 50 as page_index, abs(event_id % 50 - user_id % 50) as d from events) select doc_id, arg_min(page_index, d * 10000000 + revision) as page_index, arg_min(revision, d * 10000000 + revision) as revision from f group by doc_id""")
+def next_frame(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("revision"), (F.col("event_id") % 50).alias("page_index"))
+    return progress.next_frame(e, e.select("doc_id").distinct().withColumn("current", F.col("doc_id") % 50))
+
+
+@query("""select event_id from events where event_id > 500""")
+def changes_after(spark, d):
+    return jobs.changes_after(table(spark, d, "events").withColumnRenamed("event_id", "revision"), 500).select(F.col("revision").alias("event_id"))
+
+
+# -- checks on entries -----------------------------------------------------------
+
+
+@query(f"""with {REGIONS} select doc_id, page_index, least(sum((x2 - x) * (y2 - y)) / 60000.0, 1.0)::double as image_share from regions group by all""")
+def image_shares(spark, d):
+    r = regions(spark, d)
+    return quality.image_shares(r, r.select("doc_id", "page_index").distinct().withColumn("width", F.lit(300.0)).withColumn("height", F.lit(200.0)))
+
+
+@query("""select l_orderkey as doc_id, l_linenumber as formula_id from lineitem where l_linenumber % 2 = 0 and l_suppkey % 2 = 0 and l_returnflag <> 'N'""")
+def text_formulas(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("formula_id"), (F.col("l_linenumber") % 2).alias("curves"), F.lit(0).alias("forms"), F.array(F.lit("a"), F.when(F.col("l_suppkey") % 2 == 1, "β").otherwise("b")).alias("chars"), F.array(F.when(F.col("l_returnflag") == "N", "CMMI10").otherwise("Times")).alias("fonts"))
+    return quality.text_formulas(t).select("doc_id", "formula_id")
+
+
+@query("""select l_orderkey as doc_id, l_linenumber as entry_id from lineitem where l_returnflag <> 'A' and l_linestatus = 'O'""")
+def checked_entries(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("entry_id"), F.when(F.col("l_returnflag") == "A", "other").otherwise("list").alias("kind"), F.lit("x").alias("text"), F.when(F.col("l_linestatus") == "O", "1.").otherwise("not a label").alias("label"))
+    return quality.checked_entries(t).select("doc_id", "entry_id")
+
+
+@query("""select conv_id as doc_id, turn as entry_id, case when length(regexp_extract(text, '^[^ ]+')) > 0 then length(regexp_extract(text, '^[^ ]+')) end::int as n_label from conversations where regexp_matches(text, '^[A-Za-z]+ ')""")
+def label_glyphs(spark, d):
+    t = table(spark, d, "conversations").where(F.col("text").rlike("^[A-Za-z]+ ")).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("entry_id"), F.regexp_extract("text", "^[^ ]+", 0).alias("label"), F.split(F.substring("text", 1, 40), "").alias("chars"))
+    return quality.label_glyphs(t).select("doc_id", "entry_id", "n_label")
+
+
+@query()
+def title_regions(spark, d):
+    return quality.title_regions(glyphs(spark, d).select("doc_id", "page_index", F.lit("words").alias("text"), "x", "y", "x2", "y2"))
+
+
+@query(r"""select conv_id as doc_id, turn, case when role = 'user' then len(regexp_extract_all(text, '\p{L}')) >= 2 else len(regexp_extract_all(text, '\p{L}')) >= 24 and not regexp_matches(text, '(?i)copyright|all rights reserved|publishing group|^ *[©®]') end as body from conversations""")
+def body_requests(spark, d):
+    t = table(spark, d, "conversations")
+    return t.select(F.col("conv_id").alias("doc_id"), "turn", quality.body_request(F.lit(False), F.when(F.col("role") == "user", "figure_caption").otherwise("text"), F.col("text")).alias("body"))
+
+
+@query("""select doc_id, text as left_text, upper(lang) as right_text from documents where doc_id < 100""")
+def compared_pages(spark, d):
+    t = table(spark, d, "documents").where("doc_id < 100").withColumn("page_index", F.lit(0))
+    return export.compared(t, t.withColumn("text", F.upper("lang"))).select("doc_id", "left_text", "right_text")
+
+
+@query("""select conv_id as doc_id, turn as page_index, 'body' as kind, text from conversations""")
+def il_regions(spark, d):
+    t = table(spark, d, "conversations")
+    box = F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("x2"), F.lit(4.0).alias("y2"))
+    paragraph = F.struct(box.alias("box"), F.col("text").alias("unicode"))
+    page = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.array(F.struct(F.col("turn").alias("pageNumber"), F.array(paragraph).alias("pdfParagraph"))).alias("page")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.col("turn").alias("page_number"), F.array(paragraph).alias("pdf_paragraph"))).alias("page"))))
+    return export.il_regions(t.select(F.col("conv_id").alias("doc_id"), page.alias("json"))).select("doc_id", F.col("page_index").cast("long").alias("page_index"), "kind", "text")
+
+
 # -- relational additions ------------------------------------------------------
 
 
