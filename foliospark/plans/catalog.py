@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -523,6 +524,29 @@ def changes_after(spark, d):
     return jobs.changes_after(table(spark, d, "events").withColumnRenamed("event_id", "revision"), 500).select(F.col("revision").alias("event_id"))
 
 
+def _stream(spark, d, name):
+    # A pattern, since a stream's plain path must be a folder and a table may be one file.
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def _own_folder(spark) -> str:
+    shared_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+@query("""with n as (select conv_id as doc_id, count(distinct turn) as n from conversations group by 1) select doc_id, 1::bigint as revision, 1::bigint as paragraphs, 1::bigint as changed from n union all select doc_id, 2, n, n - 1 from n where n > 1""")
+def streamed_previews(spark, d):
+    turns = _stream(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("page_index"), F.col("turn").cast("string").alias("para_id"), F.col("turn").alias("seq"), "text")
+    return jobs.drained(spark, jobs.previews(turns), _own_folder(spark)).drop("page_index")
+
+
+@query("""with e as (select user_id::varchar as scope, event_type as id, (value > 50)::varchar as digest, event_id from events), f as (select *, first_value(digest) over w as d, row_number() over w as n from e window w as (partition by scope, id order by event_id))
+    select scope, id, case when n = 1 then 'accepted' when digest = d then 'repeat' else 'conflict' end as status from f""")
+def streamed_replies(spark, d):
+    e = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("scope"), F.col("event_type").alias("id"), (F.col("value") > 50).cast("string").alias("digest"), F.col("event_id").alias("seq"))
+    return jobs.drained(spark, jobs.accepted_once(e), _own_folder(spark))
+
+
 # -- checks on entries -----------------------------------------------------------
 
 

@@ -143,3 +143,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     """Sessions of users, ended by a gap."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+def drained(spark, frame: DataFrame, folder: str) -> DataFrame:
+    """All that a streaming query gives for what is there now, as a table in ``folder``, which all machines share."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = frame.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(frame.schema).parquet(f"{folder}/out")
