@@ -16,6 +16,22 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text_or_empty(text), SPACE), "")).cast("long")
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """``place``: each source's rank from 1 in code-point order, null last, without a task that sees all sources.
+
+    Sources are dealt out by range; the driver adds up the ranges' sizes.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = checkpointed(rows.repartitionByRange(width, *order).withColumn("part", F.spark_partition_id()))
+    before, total = [], 0
+    for row in parts.groupBy("part").count().orderBy("part").collect():  # a row a range
+        before += [F.lit(row["part"]), F.lit(total)]
+        total += row["count"]
+    start = F.create_map(*before)[F.col("part")] if before else F.lit(0)
+    return parts.withColumn("place", start + F.row_number().over(Window.partitionBy("part").orderBy(*order))).drop("part")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3) -> DataFrame:
     """(source, source_size, target) for rows (source, source_size), one a source.
 
@@ -23,9 +39,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int
     the sum of all sizes. A target stops at ``ceiling`` times its source's size; the
     excess is shared anew by weight among the others, until none is above.
     """
-    place = Window.orderBy(F.col("source").isNull(), F.col("source"))  # one narrow row a source
     shares = F.array(*(F.lit(float(w)) for w in weights))
-    rows = sizes.withColumn("weight", F.element_at(shares, ((F.row_number().over(place) - 1) % len(weights) + 1).cast("int")))
+    rows = _placed(sizes).withColumn("weight", F.element_at(shares, ((F.col("place") - 1) % len(weights) + 1).cast("int"))).drop("place")
     rows = checkpointed(rows.withColumn("cap", ceiling * F.col("source_size").cast("double")))
     total = float(rows.agg(F.sum("source_size")).first()[0] or 0)
     level = 0.0
@@ -50,7 +65,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """(doc_id, size, source_size, target, copies, taken), a row for each row of ``docs``.
 
     Each document of a source expects target / source_size copies. The documents of a
-    source stand in a fixed order, by size and then by a hash, in chunks; expected
+    source stand in a fixed random order, by a hash, in chunks; expected
     copies are summed along it, chunk sums first, so that no task holds a source. One
     random offset a source is added, and a copy is taken for each integer boundary
     that a document's span crosses. Of ``tries`` candidate offsets, a source has the
@@ -69,23 +84,20 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], ceiling: int, seed: int, t
     """Columns source_size, target, copies for rows (source, size, tie, ...)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     goal = targets(sizes.select("source", "source_size"), weights, ceiling)
-    # Chunks: by size, in steps of a twelfth at most, then by hash, so that a chunk stays small.
-    step = F.floor(F.log2(F.col("size") + 1.0) * 8)
-    tall = rows.groupBy("source", step.alias("step")).agg(F.count(F.lit(1)).alias("rows"))
-    parts = tall.select(F.col("source").alias("s"), F.col("step").alias("t"), F.ceil(F.col("rows") / CHUNK_ROWS).alias("parts"))
-    rows = rows.withColumn("step", step)
-    rows = rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("step") == F.col("t"))).drop("s", "t")
+    # Chunks by hash, so that each is small and none holds a source.
+    shares = sizes.select(F.col("source").alias("s"), F.ceil(F.col("source_rows") / CHUNK_ROWS).alias("parts"))
+    rows = rows.join(shares, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("tie", F.lit(seed)), F.col("parts"))).drop("parts")
-    chunks = rows.groupBy("source", "step", "part").agg(F.count(F.lit(1)).alias("rows"))
-    order = Window.partitionBy("source").orderBy("step", "part").rowsBetween(Window.unboundedPreceding, -1)
-    before = chunks.select("source", "step", "part", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("before"))
+    chunks = rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("rows"))
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = chunks.select("source", "part", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("before"))
     before = before.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    inside = Window.partitionBy("source", "step", "part").orderBy("size", "tie")
+    inside = Window.partitionBy("source", "part").orderBy("tie", "size")
     rows = rows.withColumn("n", F.row_number().over(inside))
-    before = before.select(*(F.col(c).alias(f"_{c}") if c in ("source", "step", "part") else F.col(c) for c in before.columns))
-    rows = rows.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("step") == F.col("_step")) & (F.col("part") == F.col("_part"))).drop("_source", "_step", "_part")
+    before = before.select(*(F.col(c).alias(f"_{c}") if c in ("source", "part") else F.col(c) for c in before.columns))
+    rows = rows.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part"))).drop("_source", "_part")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = checkpointed(rows.withColumn("place", F.col("before") + F.col("n")).withColumn("rate", rate).drop("before", "n", "step", "part"))
+    rows = checkpointed(rows.withColumn("place", F.col("before") + F.col("n")).withColumn("rate", rate).drop("before", "n", "part"))
 
     def copies(offset: Column) -> Column:
         crossed = F.floor(F.col("place") * F.col("rate") + offset) - F.floor((F.col("place") - 1) * F.col("rate") + offset)
