@@ -263,7 +263,7 @@ def _resemble(shingle: int, similarity: float):
     return arrow_rows(run, text=2, size=1 << 22)
 
 
-def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, candidate_shingle: int = 2, tries: int = 12, radius: int = 3, seed: int = 42, capacity: int = 50_000) -> DataFrame:
+def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, candidate_shingle: int = 2, tries: int = 20, radius: int = 3, seed: int = 42, capacity: int = 50_000) -> DataFrame:
     """Pairs (a, b) of ids of texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``.
 
     Candidates: links within ``radius`` in any of ``tries`` fingerprints of
