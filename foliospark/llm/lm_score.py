@@ -126,7 +126,7 @@ class Table:
     def __init__(self, keys: np.ndarray):
         self.order = np.argsort(keys * _SPREAD)
         self.spread = (keys * _SPREAD)[self.order]
-        self.shift = np.uint64(64 - max(1, len(keys)).bit_length() - 2)
+        self.shift = np.uint64(64 - max(1, len(keys)).bit_length() - 1)
         self.first = np.searchsorted(self.spread >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -170,6 +170,7 @@ class Trie:
         self.excluded = self.excluded - kinds / 2
         #: Of a byte that its longest context has seen.
         self.direct = np.where(node >= 0, self.log_count - np.log10(np.maximum(self.room[node], 1e-9)), np.nan)
+        self.entries.order = self.nodes.order = None  # workers don't need it
         self.bottom = -np.log10(max(1.0, 257 - (kinds[found[0]] if (found := self.nodes.find(np.zeros(1, dtype=np.uint64)))[0] >= 0 else 0)))
 
     def log10(self, context: np.ndarray, length: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -269,6 +270,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in most["word"]), dtype=np.uint64, count=len(most))
     common = Table(hashes)
     logs = np.log10(most["n"].to_numpy()[common.order] + 0.5) - down
+    common.order = None
     shared = docs.sparkSession.sparkContext.broadcast((_trie(counts, order, share), common, logs))
     end = float(np.log10(ends + 0.5)) - down
     kind = dict(rows.dtypes)["doc_id"]
