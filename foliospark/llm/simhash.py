@@ -119,15 +119,19 @@ class GrayIndex:
             if level == 0:
                 yield a, b
                 continue
+            # One step's worth at a time and its children first, so that what waits is bounded by the depth.
+            rest = STEP // FAN**2
+            if len(a) > rest:
+                todo.append((level, a[rest:], b[rest:]))
+                a, b = a[:rest], b[:rest]
             n = len(self.levels[level - 1][0])
-            for start in range(0, len(a), STEP // FAN**2):
-                below_a = np.repeat(a[start : start + STEP // FAN**2, None] * FAN + child, FAN, axis=1).ravel()
-                below_b = np.tile(b[start : start + STEP // FAN**2, None] * FAN + child, (1, FAN)).ravel()
-                there = (below_b < n) & ((below_a < below_b) if level == 1 else (below_a <= below_b))
-                below_a, below_b = below_a[there], below_b[there]
-                near = self.close(level - 1, below_a, below_b, radius)
-                if near.any():
-                    todo.append((level - 1, below_a[near], below_b[near]))
+            below_a = np.repeat(a[:, None] * FAN + child, FAN, axis=1).ravel()
+            below_b = np.tile(b[:, None] * FAN + child, (1, FAN)).ravel()
+            there = (below_b < n) & ((below_a < below_b) if level == 1 else (below_a <= below_b))
+            below_a, below_b = below_a[there], below_b[there]
+            near = self.close(level - 1, below_a, below_b, radius)
+            if near.any():
+                todo.append((level - 1, below_a[near], below_b[near]))
 
 
 def forest(n: int, batches) -> tuple[np.ndarray, np.ndarray]:
