@@ -32,6 +32,8 @@ FULL = (1 << 64) - 1
 FAN = 8
 #: Pairs of nodes looked at in one vectorised step.
 STEP = 1 << 18
+#: Texts of a group that are compared with the rest of it in the first further round; tasks that share a group.
+HUBS, SALTS = 16, 16
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -273,7 +275,10 @@ def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Candidates: links within ``radius`` in any of ``tries`` fingerprints of
     ``candidate_shingle`` words, each by the index above, as links that span its
     components; so there are fewer than documents times fingerprints, however large
-    a group is. Each candidate's texts are then compared exactly. Texts without
+    a group is. Each candidate's texts are then compared exactly. Where a candidate
+    fails, its group's other links were not compared: those between the components
+    that true pairs make so far follow, hubs first, until none joins two components.
+    So the pairs found connect what all true index links would. Texts without
     words resemble each other. Rows without an id have no pairs.
     """
 
@@ -284,17 +289,56 @@ def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = narrow(docs, id=id_col, text=text_col).where("id is not null")
     kind = dict(rows.dtypes)["id"]
-    prints = checkpointed(rows.mapInArrow(arrow_rows(score, text=1, size=1 << 22), f"id {kind}, fps array<long>").select("id", F.posexplode("fps").alias("space", "fp")).select("id", F.col("space").cast("long").alias("space"), "fp"))
-    nodes = checkpointed(prints.groupBy("space", "fp").agg(F.min("id").alias("first")))
+    prints = checkpointed(rows.mapInArrow(arrow_rows(score, text=1, size=1 << 22), f"id {kind}, fps array<long>"))
+    each = prints.select("id", F.posexplode("fps").alias("space", "fp")).select("id", F.col("space").cast("long").alias("space"), "fp")
+    nodes = checkpointed(each.groupBy("space", "fp").agg(F.min("id").alias("first")))
     linked = link(nodes, radius, capacity)
     ends = linked.join(nodes.select("space", F.col("fp").alias("a"), F.col("first").alias("x")), ["space", "a"]).join(nodes.select("space", F.col("fp").alias("b"), F.col("first").alias("y")), ["space", "b"]).select("x", "y")
-    same = prints.join(nodes, ["space", "fp"]).where("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y"))
+    same = each.join(nodes, ["space", "fp"]).where("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y"))
     pairs = checkpointed(ends.unionByName(same).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("key"))
-    bitmap = Bitmap(ids, "key")
-    texts = rows.where(bitmap.column(F.xxhash64("id")))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_resemble(shingle, similarity), f"a {kind}, b {kind}").distinct()
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("key"))
+        bitmap = Bitmap(ids, "key")
+        texts = rows.where(bitmap.column(F.xxhash64("id")))
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        true = both.select("a", "b", "text_a", "text_b").mapInArrow(_resemble(shingle, similarity), f"a {kind}, b {kind}")
+        return checkpointed(true.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    found = compared(pairs)
+    failed = checkpointed(pairs.join(found, ["a", "b"], "left_anti"))
+    part = stars(found)
+    cross = _named(_named(failed, "a", part), "b", part).where("a <> b")
+    groups = stars(cross)
+    groups = groups.select(F.col("a").alias("v"), F.col("b").alias("k")).unionByName(groups.select(F.col("b").alias("v"), F.col("b").alias("k")).distinct())
+    inside = part.select(F.col("a").alias("id"), F.col("b").alias("v")).unionByName(groups.select(F.col("v").alias("id"), "v"))
+    members = inside.join(groups, "v").select("id", "k")
+    sizes = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
+    members = checkpointed(members.join(sizes, "k").join(prints, "id").withColumn("turn", F.expr("pmod(xxhash64(id), size)")))
+    past, now = 0, HUBS
+    while True:
+        own = _named(members.withColumn("v", F.col("id")), "v", part)
+        mixed = own.groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.first("size").alias("n")).where("low <> high").select("k", "n")
+        left = mixed.agg(F.max("n")).first()[0]
+        if left is None or past >= left:
+            return found
+        own = checkpointed(own.join(mixed.select("k"), "k", "left_semi"))
+        degrees = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+        heads = own.where(F.col("turn") >= past).join(degrees, "id").groupBy("v").agg(F.max_by("id", F.struct("degree", "id")).alias("id")).select("id", F.lit(True).alias("head"))
+        hubs = own.join(heads, "id", "left").where(((F.col("turn") >= past) & (F.col("turn") < now)) | F.col("head"))
+        hubs = hubs.select("k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("id").alias("b"), F.col("v").alias("vb"), F.col("fps").alias("fb"))
+        others = own.where(F.col("turn") >= past).select("k", F.expr(f"cast(pmod(xxhash64(id, 1), {SALTS}) as int)").alias("salt"), F.col("id").alias("a"), F.col("v").alias("va"), F.col("fps").alias("fa"))
+        near = " or ".join(f"bit_count(fa[{i}] ^ fb[{i}]) <= {radius}" for i in range(tries))
+        more = checkpointed(others.join(hubs, ["k", "salt"]).where("va <> vb").where(near).select("a", "b").distinct())
+        found = checkpointed(found.unionByName(compared(more)).distinct())
+        part = stars(found)
+        past, now = now, now * 8
+
+
+def _named(rows: DataFrame, column: str, part: DataFrame) -> DataFrame:
+    """``rows`` with the smallest node of its component (of ``stars``) in place of the node in ``column``."""
+    names = part.select(F.col("a").alias(column), F.col("b").alias("_root"))
+    return rows.join(names, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, similarity: float | None = 0.8) -> DataFrame:

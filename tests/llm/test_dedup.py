@@ -118,6 +118,28 @@ def test_resembling_pairs_are_exact_and_span_their_groups(spark):
     assert sum(root[a] == root[b] for a, b in near) >= 0.97 * len(near) > 100 and len(got) < 20 * len(rows)
 
 
+def test_variants_of_one_text_are_found_beside_failed_links(spark):
+    """300 variants resemble the original, but not each other; a forest of the links runs mostly between variants."""
+    random.seed(11)
+    base = [f"w{random.randrange(500)}" for _ in range(400)]
+    rows = [(500, " ".join(base))]
+    for i in range(300):
+        own = list(base)
+        for at in random.sample(range(3, 397), 8):
+            own[at] = f"x{random.randrange(5000)}"
+        rows.append((i, " ".join(own)))
+    text, ids = dict(rows), [i for i, _ in rows]
+    prints = np.array([simhash._majority(t.encode().split(), 2, 42, 19) for _, t in rows], dtype=np.uint64)
+    links = {(a, b) for (x, a), (y, b) in itertools.combinations(enumerate(ids), 2) if (np.bitwise_count(prints[x] ^ prints[y]) <= 3).any()}
+    true = {(a, b) for a, b in links if jaccard(text[a], text[b]) >= 0.8}
+    root = {i: i for i in text}
+    got = [(r.a, r.b) for r in simhash.resembling(spark.createDataFrame(rows, DOC)).collect()]
+    assert all(a > b and jaccard(text[a], text[b]) >= 0.8 for a, b in got)
+    for a, b in got:
+        root = {i: min(root[a], root[b]) if r in (root[a], root[b]) else r for i, r in root.items()}
+    assert len(true) > 200 and len(links) > 5 * len(true) and all(root[a] == root[b] for a, b in true)
+
+
 def test_drop_near_duplicates_keeps_one_of_each(spark):
     rows = near_copies(60)
     df = spark.createDataFrame(rows, DOC).withColumn("row", F.lit(3)).withColumn("key", F.lit("k"))
