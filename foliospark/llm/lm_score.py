@@ -7,9 +7,11 @@ context shorter by one byte and leaves out the bytes that the longer one has see
 The trie is pretrained: counts of windows of order + 1 bytes over all training texts
 give the counts of all shorter ones.
 
-A context or byte is in the trie if it makes up at least one part in
-``1 / share`` of the training bytes. So each order has at most ``1 / share`` entries,
-and the broadcast is bounded for any corpus. What is cut counts as escapes.
+The trie keeps every context and byte. It is dealt out by the last bytes of a context:
+all that a window's score needs in its longer contexts is in one task, and what the
+shortest contexts need is broadcast, at most 2 ** 24 grams for any corpus. Each kind of
+window is scored once. The windows that come most often, at most ``1 / share``, are
+looked up in a broadcast table; the others of a document are joined with the scores.
 
 The unigram base needs every training word's count. The words that make up more than
 one part in ``1 / share`` of the tokens are looked up in a broadcast table of bounded
@@ -26,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held_out, parts, text_or_empty, utf8
+from .common import checkpointed, held_out, parts, shuffle_width, text_or_empty, utf8
 
 #: Words of a partition that are counted before they are handed on; words that a worker remembers.
 COUNTED, REMEMBERED = 1 << 18, 1 << 17
+#: Windows that a worker scores at a time.
+SCORED = 1 << 18
 #: Bytes of texts handled in one vectorised step.
 STEP = 1 << 20
 #: The end of a text, in the place of a word's first byte. Words hold no white space.
@@ -68,27 +72,35 @@ def _windows(words: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _count(order: int):
-    """For mapInArrow over (text) of training documents: (word, window, n), each with one of the first two."""
+    """For mapInArrow over (held, text): (word, window, n, uses), each with one of the first two.
+
+    n: in training documents; uses: a window's in all documents.
+    """
 
     def run(batches):
         words: Counter = Counter()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def out_words():
-            found = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "window", "n"])
+            found = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64()), pa.nulls(len(words), pa.int64())], names=["word", "window", "n", "uses"])
             words.clear()
             return found
 
         def out_windows():
-            keys, n = held[0]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "window", "n"])
+            keys, n, uses = held[0]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(n), pa.array(uses)], names=["word", "window", "n", "uses"])
 
-        for _, part in _take(batches, 0):
-            for w in part:
+        for rows, part in _take(batches, 1):
+            learnt = [w for w, out in zip(part, rows.column(0).to_pylist(), strict=True) if not out]
+            rest = [w for w, out in zip(part, rows.column(0).to_pylist(), strict=True) if out]
+            for w in learnt:
                 words.update(w)
-            held.append(np.unique(_windows(part, order)[0], return_counts=True))
-            size += len(held[-1][0])
+            for own, counts in ((learnt, True), (rest, False)):
+                if own:
+                    keys, uses = np.unique(_windows(own, order)[0], return_counts=True)
+                    held.append((keys, uses if counts else np.zeros_like(uses), uses))
+                    size += len(keys)
             if size > 1 << 21:
                 held = [_sum(held)]
                 size = len(held[0][0])
@@ -111,13 +123,13 @@ def _pack(length: int, value: np.ndarray) -> np.ndarray:
     return value | np.uint64(length << 56)
 
 
-def _sum(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The sums by key of (keys, counts)."""
-    keys, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
+def _sum(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """The sums by key of (keys, counts ...)."""
+    keys, *counts = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
+    keys = keys[order]
     heads = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[heads], np.add.reduceat(n, heads) if len(heads) else n
+    return keys[heads], *(np.add.reduceat(n[order], heads) if len(heads) else n for n in counts)
 
 
 class Table:
@@ -146,7 +158,7 @@ class Table:
 
 
 class Trie:
-    """Pretrained PPM. grams, n: the kept grams and their counts; contexts, seen: the kept contexts and all that followed them."""
+    """Pretrained PPM. grams, n: the grams and their counts; contexts, seen: the contexts and all that followed them."""
 
     def __init__(self, grams: np.ndarray, n: np.ndarray, contexts: np.ndarray, seen: np.ndarray, order: int):
         self.order = order
@@ -164,7 +176,7 @@ class Trie:
         shorter = np.where(length > 1, (length - np.uint64(1)) << np.uint64(56) | grams & ((np.uint64(1) << byte * np.maximum(length, np.uint64(1)) - byte) - np.uint64(1)), np.uint64(0))
         below = self.entries.find(shorter)
         self.excluded = np.bincount(node[good], weights=np.where((below >= 0) & (length > 1), n[below], 0.0)[good], minlength=len(contexts))
-        # Method D: each kind of byte gives half a count to the escape; what was cut from the trie escapes whole.
+        # Method D: each kind of byte gives half a count to the escape.
         self.log_count = np.log10(n - 0.5)
         self.room, self.escape = seen, np.log10(np.maximum(seen - kept, 0) + kinds / 2)
         self.excluded = self.excluded - kinds / 2
@@ -208,22 +220,86 @@ class Trie:
         return out
 
 
-def _trie(counts: DataFrame, order: int, share: float) -> Trie:
-    windows = counts.where("window is not null").select("window", "n")
-    cuts = F.array(*(F.struct(F.expr(f"(window & {(1 << 8 * (k + 1)) - 1}L) | {(k + 1) << 56}L").alias("gram")) for k in range(order + 1)))
-    grams = checkpointed(windows.select("n", F.inline(cuts)).groupBy("gram").agg(F.sum("n").alias("n")))
-    size = grams.where("shiftright(gram, 56) = 1").agg(F.sum("n")).first()[0] or 0  # training bytes
-    least = max(1, int(size * share))
-    seen = grams.groupBy(F.expr("shiftleft(shiftright(gram, 56) - 1, 56) | shiftright(gram & 72057594037927935L, 8)").alias("gram")).agg(F.sum("n").alias("n"))
-    (g, n), (c, s) = (((t := x.where(F.col("n") >= least).toArrow())["gram"].to_numpy().view(np.uint64), t["n"].to_numpy()) for x in (grams, seen))  # (order + 1) / share rows at most
-    return Trie(g, n, c, s, order)
+def _grams(windows: np.ndarray, n: np.ndarray, lengths) -> tuple[np.ndarray, np.ndarray]:
+    """The last bytes of windows, of each of the lengths, and their counts."""
+    return _sum([(_pack(k, windows & np.uint64((1 << 8 * k) - 1)), n) for k in lengths])
+
+
+def _contexts(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = grams >> np.uint64(56)
+    return _sum([((length - np.uint64(1)) << np.uint64(56) | (grams & np.uint64((1 << 56) - 1)) >> np.uint64(8), n)])
+
+
+def _window_scores(shared, order: int, near: int):
+    """For mapInArrow over (place, window, n, uses), the rows of a place together: (window, uses, score) of each.
+
+    A place is the last ``near`` bytes of a window's context; the grams of up to that length are shared.
+    """
+
+    def scores(got: np.ndarray):
+        windows, n = got[1], got[2].astype(np.int64)
+        known = n > 0
+        grams, counts = shared.value
+        if known.any():
+            own = _grams(windows[known], n[known], range(near + 1, order + 2))
+            grams, counts = np.concatenate([grams, own[0]]), np.concatenate([counts, own[1]])
+        trie = Trie(grams, counts, *_contexts(grams, counts), order)
+        found = np.concatenate([trie.windows(windows[at : at + STEP]) for at in range(0, len(windows), STEP)])
+        return pa.RecordBatch.from_arrays([pa.array(windows.view(np.int64)), pa.array(got[3].view(np.int64)), pa.array(found)], names=["window", "uses", "score"])
+
+    def run(batches):
+        kept: list[np.ndarray] = []
+        rows = 0
+        for batch in batches:
+            kept.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(4)]))
+            rows += batch.num_rows
+            if rows >= SCORED:
+                got = np.concatenate(kept, axis=1)
+                last = got[0] == got[0, -1]  # its place may go on
+                if not last.all():
+                    yield scores(got[:, ~last])
+                kept = [got[:, last]]
+                rows = int(last.sum())
+        if rows:
+            yield scores(np.concatenate(kept, axis=1))
+
+    return run
 
 
-def _score(shared):
-    """For mapInArrow over (doc_id, held, text): the sums that need no join, and the words that do."""
+def _scores(counts: DataFrame, order: int) -> DataFrame:
+    """(window, uses, score) of each window, by the trie of all of them."""
+    windows = counts.where("window is not null").select("window", "n", "uses")
+    near = min(order, 3)
+    tail = checkpointed(windows.where("n > 0").groupBy(F.expr(f"window & {(1 << 8 * near) - 1}L").alias("gram")).agg(F.sum("n").alias("n"))).toArrow()  # 2 ** 24 rows at most
+    low = _grams(tail["gram"].to_numpy().view(np.uint64), tail["n"].to_numpy(), range(1, near + 1)) if len(tail) else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    shared = counts.sparkSession.sparkContext.broadcast(low)
+    placed = windows.select(F.expr(f"shiftright(window, 8) & {(1 << 8 * near) - 1}L").alias("place"), "window", "n", "uses")
+    width = shuffle_width(counts, windows.count(), 4 * SCORED)
+    dealt = placed.repartition(width, "place").sortWithinPartitions("place")
+    return checkpointed(dealt.mapInArrow(_window_scores(shared, order, near), "window long, uses long, score double"))
+
+
+def _most(scores: DataFrame, share: float) -> tuple[Table, np.ndarray]:
+    """The windows of most uses, 1 / share at most, and their scores in the table's order."""
+    kinds = sorted(((r["bits"], r["n"]) for r in scores.groupBy(F.expr("length(bin(uses))").alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, room = None, 1 / share
+    for bits, n in kinds:
+        room -= n
+        if room < 0:
+            break
+        least = 1 << bits - 1
+    found = scores.where(F.col("uses") >= least if least else F.lit(False)).select("window", "score").toArrow()
+    table = Table(found["window"].to_numpy().view(np.uint64) if len(found) else np.zeros(0, dtype=np.uint64))
+    out = found["score"].to_numpy()[table.order] if len(found) else np.zeros(0)
+    table.order = None
+    return table, out
+
+
+def _score(shared, order: int):
+    """For mapInArrow over (doc_id, held, text): the sums that need no join, and the words and windows that do."""
 
     def run(batches):
-        trie, common, logs = shared.value
+        most, scores, common, logs = shared.value
         known: dict[bytes, float] = {}
         for part, words in _take(batches, 2):
             if len(known) > REMEMBERED:
@@ -232,8 +308,13 @@ def _score(shared):
             at = common.find(np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new)))
             base = np.where(at >= 0, logs[at], np.nan) if len(logs) else np.full(len(new), np.nan)
             known.update(zip(new, base.tolist(), strict=True))
-            windows, starts = _windows(words, trie.order)
-            score = np.add.reduceat(trie.windows(windows), starts)
+            windows, starts = _windows(words, order)
+            at = most.find(windows)
+            score = np.where(at >= 0, scores[at], np.nan) if len(scores) else np.full(len(windows), np.nan)
+            other = np.nonzero(np.isnan(score))[0]
+            n_other = np.bincount(np.searchsorted(starts, other, side="right") - 1, minlength=len(words))
+            score = np.add.reduceat(np.nan_to_num(score), starts)
+            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_other)]).astype(np.int32)), pa.array(windows[other].view(np.int64)))
             flat = [w for own in words for w in own]
             sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
             owner = np.repeat(np.arange(len(words)), sizes)
@@ -242,7 +323,7 @@ def _score(shared):
             sums = np.bincount(owner, weights=np.nan_to_num(base), minlength=len(words))
             n_rare = np.bincount(owner[rare], minlength=len(words))
             tails = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)), pa.array([flat[i] for i in rare], pa.binary()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes + 1), pa.array(sizes - n_rare), pa.array(sums), pa.array(score), tails], names=["doc_id", "held_out", "n_tokens", "n_common", "common", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes + 1), pa.array(sizes - n_rare), pa.array(sums), pa.array(score), tails, others], names=["doc_id", "held_out", "n_tokens", "n_common", "common", "score", "rare", "others"])
 
     return run
 
@@ -256,10 +337,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     a space after each, and the end. Null text is the empty text: its end only. Null
     ids learn and are not held out; repeated rows count as often as they are there.
     Without training rows N and V are 0, and all bytes are alike. No rows: no rows.
+    ``share`` says how many windows are broadcast, and has no part in the result.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col], modulus).alias("held_out"), text_or_empty(docs[text_col]).alias("text"))
-    counted = rows.where("not held_out").select("text").mapInArrow(_count(order), "word binary, window long, n long")
-    counts = checkpointed(counted.groupBy("word", "window").agg(F.sum("n").alias("n")))
+    counted = rows.select("held_out", "text").mapInArrow(_count(order), "word binary, window long, n long, uses long")
+    counts = checkpointed(counted.groupBy("word", "window").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")))
     words = counts.where("word is not null").select("word", "n")
     total = counts.agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("n"), F.count("word").alias("v"), F.sum(F.when(F.expr("window & 255") == END, F.col("n"))).alias("ends")).first()
     ends = total["ends"] or 0
@@ -271,12 +353,15 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     common = Table(hashes)
     logs = np.log10(most["n"].to_numpy()[common.order] + 0.5) - down
     common.order = None
-    shared = docs.sparkSession.sparkContext.broadcast((_trie(counts, order, share), common, logs))
+    scores = _scores(counts, order)
+    shared = docs.sparkSession.sparkContext.broadcast((*_most(scores, share), common, logs))
     end = float(np.log10(ends + 0.5)) - down
     kind = dict(rows.dtypes)["doc_id"]
-    first = rows.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_common long, common double, score double, rare array<binary>")
+    first = rows.mapInArrow(_score(shared, order), f"doc_id {kind}, held_out boolean, n_tokens long, n_common long, common double, score double, rare array<binary>, others array<long>")
     first = checkpointed(first.withColumn("row", F.monotonically_increasing_id()))
     rare = first.select("row", F.explode("rare").alias("word"))
     found = rare.join(words, "word", "left").groupBy("row").agg(F.count("n").alias("n_rare"), F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5) - down).alias("rare_sum"))
-    all_rows = first.join(found, "row", "left")
-    return all_rows.select("doc_id", "held_out", "n_tokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), F.lit(train).cast("long").alias("train_tokens"), (F.col("common") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(end)).alias("base_score"), "score")
+    other = first.select("row", F.explode("others").alias("window")).groupBy("row", "window").agg(F.count(F.lit(1)).alias("times"))
+    other = other.join(scores, "window").groupBy("row").agg(F.sum(F.col("times") * F.col("score")).alias("other_sum"))
+    all_rows = first.join(found, "row", "left").join(other, "row", "left")
+    return all_rows.select("doc_id", "held_out", "n_tokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), F.lit(train).cast("long").alias("train_tokens"), (F.col("common") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(end)).alias("base_score"), (F.col("score") + F.coalesce("other_sum", F.lit(0.0))).alias("score"))

@@ -175,6 +175,26 @@ def test_ppm_matches_the_definition():
         assert trie.windows(windows).sum() == pytest.approx(brute_ppm(counts, order, raw)), text
 
 
+def test_rare_contexts_count_whatever_is_broadcast(spark):
+    """Each score is that of the trie of all training windows, though only one window in ``1 / share`` is broadcast."""
+    random.seed(8)
+    words = ["".join(random.choice("abcdé") for _ in range(random.randint(1, 6))) for _ in range(150)]
+    texts = {i: " ".join(random.choices(words, k=random.randint(0, 30))) for i in range(60)} | {99: "zebra zebra unseen ü", 98: ""}
+    order = 5
+    lead = bytes(order - 3) + b"\n\n "
+    raw = {i: lead + t.encode() + (b" \n" if t else b"\n") for i, t in texts.items()}
+    counts: dict = {}
+    for i, t in raw.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for at in range(len(lead), len(t)):
+                for k in range(order + 1):
+                    counts.setdefault(t[at - k : at], Counter())[t[at]] += 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for share in (2.0**-21, 1 / 50, 1.0):
+        got = {r.doc_id: r.score for r in lm_score.scored(df, share=share).collect()}
+        assert got == pytest.approx({i: brute_ppm(counts, order, t) for i, t in raw.items()}), share
+
+
 def language_rows(n=400):
     random.seed(1)
     parts = {"aa": ["th", "ing", "er", "on"], "bb": ["sch", "ung", "ei", "ver"], "cc": ["ción", "ado", "os", "ñ"], "dd": ["eau", "oi", "ment", "qu"]}
