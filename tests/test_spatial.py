@@ -97,3 +97,11 @@ def test_as_of_without_an_earlier_row(spark):
     right = spark.createDataFrame([(1, 3, "a"), (1, 5, "b")], "k int, t int, v string")
     got = relational.as_of(left, right, "k", "t", "t", ["v"])
     assert sorted((r.k, r.t, r.asof_v or "") for r in got.collect()) == [(1, 1, ""), (1, 5, "b"), (2, 9, "")]
+
+
+def test_tall_words_keep_the_glyphs_of_their_whole_box(spark):
+    words = box_frame(spark, [(1, 0, 7, 0.0, 100.0, 50.0, 180.0), (1, 0, 8, 0.0, 300.0, 50.0, 306.0)], "word_id int")
+    at = {1: 104.0, 2: 140.0, 3: 176.0, 4: 92.0, 5: 80.0, 6: 187.0, 7: 310.0, 8: 312.0}
+    glyphs = box_frame(spark, [(1, 0, i, 10.0, y - 2, 14.0, y + 2) for i, y in at.items()], "glyph_id long")
+    got = {r.glyph_id: r.word_id for r in spatial.nearest_words(glyphs, words).collect()}
+    assert got == {1: 7, 2: 7, 3: 7, 4: 7, 6: 7, 7: 8}
