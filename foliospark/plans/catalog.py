@@ -587,7 +587,7 @@ def body_requests(spark, d):
 
 @query("""select doc_id, text as left_text, upper(lang) as right_text from documents where doc_id < 100""")
 def compared_pages(spark, d):
-    t = table(spark, d, "documents").where("doc_id < 100").withColumn("page_index", F.lit(0))
+    t = table(spark, d, "documents").withColumn("page_index", F.lit(0))
     return export.compared(t, t.withColumn("text", F.upper("lang"))).select("doc_id", "left_text", "right_text")
 
 

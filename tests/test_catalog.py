@@ -44,3 +44,8 @@ def test_query(spark, duck, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert sorted(tuple(map(plain, r)) for r in got[columns].itertuples(index=False)) == sorted(tuple(map(plain, r)) for r in want[columns].itertuples(index=False))
+
+
+def test_compared_pages_takes_all_documents(spark, tmp_path):
+    spark.createDataFrame([(5, "a", "en"), (100, "b", "de"), (4000, "c", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, catalog.QUERIES["compared_pages"](spark, str(tmp_path)).collect())) == [(5, "a", "EN"), (100, "b", "DE"), (4000, "c", "FR")]
