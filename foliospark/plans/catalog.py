@@ -624,8 +624,10 @@ def sales_by_nation(spark, d):
 
 @query("""select coalesce(s_nationkey, c_nationkey) as nation, count(distinct s_suppkey) as suppliers, count(distinct c_custkey) as customers from (select * from supplier where s_suppkey % 3 = 0) full join (select * from customer where c_custkey % 50 = 0) on s_nationkey = c_nationkey group by all""")
 def full_outer(spark, d):
-    s, c = table(spark, d, "supplier").where("s_suppkey % 3 = 0"), table(spark, d, "customer").where("c_custkey % 50 = 0")
-    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "full").groupBy(F.coalesce("s_nationkey", "c_nationkey").alias("nation")).agg(F.count_distinct("s_suppkey").alias("suppliers"), F.count_distinct("c_custkey").alias("customers"))
+    s = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("suppliers"))
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("customers"))
+    both = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "full")
+    return both.groupBy(F.coalesce("s_nationkey", "c_nationkey").alias("nation")).agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("suppliers", "customers")))
 
 
 @query("""select c_custkey from customer where c_acctbal > 0 and not exists (select 1 from orders where o_custkey = c_custkey) union all select c_custkey from customer where c_acctbal <= 0 and exists (select 1 from orders where o_custkey = c_custkey)""")

@@ -49,3 +49,10 @@ def test_query(spark, duck, name):
 def test_compared_pages_takes_all_documents(spark, tmp_path):
     spark.createDataFrame([(5, "a", "en"), (100, "b", "de"), (4000, "c", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, catalog.QUERIES["compared_pages"](spark, str(tmp_path)).collect())) == [(5, "a", "EN"), (100, "b", "DE"), (4000, "c", "FR")]
+
+
+def test_full_outer_takes_whole_tables(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 8), (5, None)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, 7), (50, 7), (2, 9), (3, 9), (4, None)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["full_outer"](spark, str(tmp_path)).collect()}
+    assert got == {(7, 3, 2), (8, 1, 0), (9, 0, 2), (None, 1, 1)}
