@@ -570,7 +570,7 @@ def checked_entries(spark, d):
 
 @query("""select conv_id as doc_id, turn as entry_id, case when length(regexp_extract(text, '^[^ ]+')) > 0 then length(regexp_extract(text, '^[^ ]+')) end::int as n_label from conversations where regexp_matches(text, '^[A-Za-z]+ ')""")
 def label_glyphs(spark, d):
-    t = table(spark, d, "conversations").where(F.col("text").rlike("^[A-Za-z]+ ")).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("entry_id"), F.regexp_extract("text", "^[^ ]+", 0).alias("label"), F.split(F.substring("text", 1, 40), "").alias("chars"))
+    t = table(spark, d, "conversations").where(F.col("text").rlike("^[A-Za-z]+ ")).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("entry_id"), F.regexp_extract("text", "^[^ ]+", 0).alias("label"), F.split("text", "").alias("chars"))
     return quality.label_glyphs(t).select("doc_id", "entry_id", "n_label")
 
 

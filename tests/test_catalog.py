@@ -56,3 +56,9 @@ def test_full_outer_takes_whole_tables(spark, tmp_path):
     spark.createDataFrame([(1, 7), (50, 7), (2, 9), (3, 9), (4, None)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     got = {tuple(r) for r in catalog.QUERIES["full_outer"](spark, str(tmp_path)).collect()}
     assert got == {(7, 3, 2), (8, 1, 0), (9, 0, 2), (None, 1, 1)}
+
+
+def test_label_glyphs_reads_labels_of_any_length(spark, tmp_path):
+    rows = [(1, 0, "x" * 45 + " goes on"), (2, 0, "Short one"), (3, 0, "y" * 40 + " z")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.doc_id: r.n_label for r in catalog.QUERIES["label_glyphs"](spark, str(tmp_path)).collect()} == {1: 45, 2: 5, 3: 40}
