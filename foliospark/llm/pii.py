@@ -39,7 +39,8 @@ SHAPES = {
     "card": r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}(?P<mark>[ -])[0-9]{4}(?P=mark)[0-9]{4}(?P=mark)[0-9]{1,7}(?![0-9])|(?<![0-9])3[47][0-9]{2}(?P<sign>[ -])[0-9]{6}(?P=sign)[0-9]{5}(?![0-9])",
 }
 _SHAPE = re.compile("|".join(f"(?P<{name}>{shape})" for name, shape in SHAPES.items()))
-_HINT = re.compile("[0-9@]")
+#: What a text with a valid value has: a digit or @, or a secret of letters only.
+_HINT = re.compile("[0-9@]|AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_]|[a-f]{32}|[A-F]{32}")
 
 
 class Feistel:
