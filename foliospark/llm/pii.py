@@ -15,14 +15,17 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_rows
 
 ROUNDS = 10
-#: Environment variable with the key. The default key is public: for tests only.
-KEY_VARIABLE, TEST_KEY = "FOLIOSPARK_PII_KEY", b"not secret"
+#: Letters and digits up to which a value is permuted as one integer; longer ones place by place.
+ONE_INTEGER = 64
+#: Environment variable with the key.
+KEY_VARIABLE = "FOLIOSPARK_PII_KEY"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -49,20 +52,19 @@ class Feistel:
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
+    def _stream(self, tweak: bytes, r: int, half: bytes, size: int) -> bytes:
+        """``size`` keyed bytes that depend on the round and on all of ``half``, in time linear in both."""
+        return hashlib.shake_256(self.key + hashlib.blake2b(tweak, digest_size=16).digest() + bytes([r]) + half).digest(size)
+
     def _round(self, tweak: bytes, r: int, half: int, bits: int) -> int:
-        size = bits // 8 + 1
-        out, block = b"", 0
-        while len(out) < size:
-            out += hashlib.blake2b(bytes([r, block]) + half.to_bytes(half.bit_length() // 8 + 1, "big"), key=self.key, salt=hashlib.blake2b(tweak, digest_size=16).digest()).digest()
-            block += 1
-        return int.from_bytes(out[:size], "big") & ((1 << bits) - 1)
+        return int.from_bytes(self._stream(tweak, r, half.to_bytes(bits // 8 + 1, "big"), bits // 8 + 1), "big") & ((1 << bits) - 1)
 
     def permute(self, x: int, n: int, tweak: str, inverse: bool = False) -> int:
         """Halves of a power of four of at least n; values from n on are permuted again until one is below."""
         if n < 2:
             return x
         bits = max(1, ((n - 1).bit_length() + 1) // 2)
-        own = f"{tweak}/{n}".encode()
+        own = tweak.encode() + b"/" + n.to_bytes(n.bit_length() // 8 + 1, "big")
         mask = (1 << bits) - 1
         while True:
             left, right = x >> bits, x & mask
@@ -75,20 +77,38 @@ class Feistel:
             if x < n:
                 return x
 
-    def characters(self, value: str, tweak: str, inverse: bool = False) -> str:
+    def places(self, values: np.ndarray, sizes: np.ndarray, tweak: str, inverse: bool = False) -> np.ndarray:
+        """A permutation of the tuples of integers below ``sizes``, two at least, in time linear in their number.
+
+        A Feistel network on the two halves of the tuple, which adds to each place of one half a
+        keyed number that depends on all of the other half.
+        """
+        own = f"{tweak}/places/{len(sizes)}".encode() + sizes.astype("u1").tobytes()
+        middle = len(sizes) // 2
+        halves, widths = [values[:middle].astype(np.uint64), values[middle:].astype(np.uint64)], [sizes[:middle].astype(np.uint64), sizes[middle:].astype(np.uint64)]
+        for r in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
+            k = r % 2
+            stream = np.frombuffer(self._stream(own, r, halves[1 - k].astype("u1").tobytes(), 8 * len(widths[k])), dtype="<u8") % widths[k]
+            halves[k] = (halves[k] + (widths[k] - stream if inverse else stream)) % widths[k]
+        return np.concatenate(halves)
+
+    def characters(self, value: str, tweak: str, inverse: bool = False, kinds: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> str:
         """Digits become digits, letters letters of the same case; all else stays."""
-        kinds = [next((k for k in (DIGITS, LOWER, UPPER) if c in k), c) for c in value]
-        x, n = 0, 1
-        for c, kind in zip(value, kinds, strict=True):
-            if len(kind) > 1:
-                x, n = x * len(kind) + kind.index(c), n * len(kind)
-        x, out = self.permute(x, n, tweak, inverse), []
-        for kind in reversed(kinds):
-            if len(kind) > 1:
-                x, at = divmod(x, len(kind))
-                kind = kind[at]
-            out.append(kind)
-        return "".join(reversed(out))
+        places = [(i, kind) for i, c in enumerate(value) for kind in kinds if c in kind]
+        numbers = [kind.index(value[i]) for i, kind in places]
+        if len(places) > ONE_INTEGER:
+            numbers = self.places(np.array(numbers), np.array([len(kind) for _, kind in places]), tweak, inverse).tolist()
+        else:
+            x, n = 0, 1
+            for number, (_, kind) in zip(numbers, places, strict=True):
+                x, n = x * len(kind) + number, n * len(kind)
+            x = self.permute(x, n, tweak, inverse)
+            for at in reversed(range(len(places))):
+                x, numbers[at] = divmod(x, len(places[at][1]))
+        out = list(value)
+        for number, (i, kind) in zip(numbers, places, strict=True):
+            out[i] = kind[number]
+        return "".join(out)
 
 
 def luhn_digit(digits: str) -> str:
@@ -126,8 +146,7 @@ class Pseudonyms:
     def _secret(self, value, inverse):
         head = re.match(r"AKIA|[a-z]+[-_](?=[A-Za-z0-9_-]{16})|", value)[0]
         if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", value):
-            x = self.feistel.permute(int(value, 16), 16 ** len(value), "hex", inverse)
-            return format(x, f"0{len(value)}{'X' if value.isupper() else 'x'}")
+            return self.feistel.characters(value, "hex", inverse, (DIGITS + (UPPER if value.isupper() else LOWER)[:6],))
         return head + self.feistel.characters(value[len(head) :], "secret", inverse)
 
     def _assigned(self, value, inverse):
@@ -224,10 +243,13 @@ def pseudonymised(docs: DataFrame, key: bytes | None = None, id_col: str = "doc_
 
     text has each valid value replaced; kinds lists their kinds in order. Null text
     stays null, with nothing replaced. Texts without such values are unchanged. Null
-    ids and repeated rows are rows like any other. No rows: no rows. ``key``: else
-    from the environment.
+    ids and repeated rows are rows like any other. No rows: no rows. Texts and values of
+    any length are taken whole, in time linear in it; other columns play no part.
+    ``key``: else from the environment; without either, an error.
     """
-    key = key or os.environ.get(KEY_VARIABLE, "").encode() or TEST_KEY
+    key = key or os.environ.get(KEY_VARIABLE, "").encode()
+    if not key:
+        raise ValueError(f"give a key, or set {KEY_VARIABLE}")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = pseudonyms(key)
