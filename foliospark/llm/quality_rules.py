@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ _BLANK = r"[\x20\x09-\x0D]"
 def features(rows: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     """``keep`` and the counts that the rules are about, for each row.
 
-    A filter on the counts must name ``barrier`` too: only then does the optimiser not
-    push it below, where it would work out every step anew for each word.
+    A filter on the counts must come behind a checkpoint: else the optimiser pushes it
+    below, where it would work out every step anew for each word.
     """
     held = [f"keep_{i}" for i in range(len(keep))]
     rows = rows.select(*(c.alias(n) for c, n in zip(keep, held, strict=True)), text_or_empty(text).alias("text"))
@@ -61,7 +62,7 @@ def features(rows: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     # Only texts with a repeated window go on to sort theirs; equal hashes then stand side by side.
     rows = rows.select(*rest, F.expr("if(size(array_distinct(windows)) < size(windows), array_sort(transform(windows, (x, i) -> struct(x, i))), array())").alias("pairs"))
     rows = rows.select(*rest, F.expr("array_sort(transform(filter(pairs, (p, j) -> (j > 0 and pairs[greatest(j - 1, 0)].x = p.x) or (j < size(pairs) - 1 and pairs[least(j + 1, size(pairs) - 1)].x = p.x)), p -> p.i))").alias("at"))
-    rows = rows.select(*rest, F.expr("cast(if(size(at) = 0, 0, 5 + if(size(at) > 1, aggregate(sequence(1, size(at) - 1), 0, (n, j) -> n + least(5, at[j] - at[j - 1])), 0)) as long)").alias("n_repeat_words"), F.monotonically_increasing_id().alias("barrier"))
+    rows = rows.select(*rest, F.expr("cast(if(size(at) = 0, 0, 5 + if(size(at) > 1, aggregate(sequence(1, size(at) - 1), 0, (n, j) -> n + least(5, at[j] - at[j - 1])), 0)) as long)").alias("n_repeat_words"))
     return rows
 
 
@@ -90,38 +91,35 @@ class LabelModel:
             odds = odds + F.when(vote == "-", ratio["-"]).when(vote == "+", ratio["+"]).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-odds))
 
+    def of_votes(self, cast: dict[str, np.ndarray]) -> np.ndarray:
+        """The same for the fit's own table of patterns."""
+        odds = math.log(self.prior / (1 - self.prior)) + sum(cast[v] @ np.log([table[v][0] / table[v][1] for table in self.likely]) for v in "+-")
+        return 1 / (1 + np.exp(-odds))
+
 
 def fit(patterns: DataFrame, rounds: int = 50, tolerance: float = 1e-4) -> LabelModel:
-    """EM over rows (votes, n). A round is one aggregation; its sums, six for each rule, reach the driver.
+    """EM over rows (votes, n): at most 3 to the power of the number of rules, whatever the table, which reach the driver once.
 
     It starts from the votes themselves, a vote against counting four times one in
     favour. Abstaining says nothing about a document. Sums are smoothed by one
     vote, so an empty table gives even odds.
     """
-    rules = range(len(RULES))
-    against = sum((F.when(F.substring("votes", k + 1, 1) == "-", 1).otherwise(0) for k in rules), F.lit(0))
-    favour = sum((F.when(F.substring("votes", k + 1, 1) == "+", 1).otherwise(0) for k in rules), F.lit(0))
-    good: Column = (favour + 1) / (favour + 1 + 4 * against)
+    rows = sorted((r["votes"], r["n"]) for r in patterns.select("votes", "n").collect())
+    rules, n = len(RULES), np.array([n for _, n in rows], dtype=float)
+    cast = {v: np.array([[x == v for x in votes] for votes, _ in rows], dtype=float).reshape(len(rows), rules) for v in "+-"}
+    against, favour = cast["-"].sum(axis=1), cast["+"].sum(axis=1)
+    good = (favour + 1) / (favour + 1 + 4 * against)
     model, before = LabelModel(0.5, []), None
     for _ in range(rounds):
-        with_good = patterns.select("votes", "n", good.alias("good"))
-        sums = [F.sum(F.col("n") * F.col("good")).alias("good"), F.sum("n").alias("n")]
-        for k in rules:
-            for vote in "+-":
-                cast = F.when(F.substring("votes", k + 1, 1) == vote, F.col("n")).otherwise(0)
-                sums += [F.sum(cast * F.col("good")).alias(f"g{k}{vote}"), F.sum(cast).alias(f"n{k}{vote}")]
-        row = with_good.agg(*sums).first().asDict()
-        row = {k: float(v or 0) for k, v in row.items()}
-        likely = []
-        for k in rules:
-            cast_good = row[f"g{k}+"] + row[f"g{k}-"] + 2
-            cast_bad = row[f"n{k}+"] + row[f"n{k}-"] + 4 - cast_good
-            likely.append({v: ((row[f"g{k}{v}"] + 1) / cast_good, (row[f"n{k}{v}"] - row[f"g{k}{v}"] + 1) / cast_bad) for v in "+-"})
-        model = LabelModel((row["good"] + 1) / (row["n"] + 2), likely)
-        now = [model.prior, *(p for table in likely for pair in table.values() for p in pair)]
-        if before and max(abs(x - y) for x, y in zip(before, now, strict=True)) < tolerance:
+        held, all_cast = {v: (n * good) @ cast[v] for v in "+-"}, {v: n @ cast[v] for v in "+-"}
+        good_casts = held["+"] + held["-"] + 2
+        bad_casts = all_cast["+"] + all_cast["-"] + 4 - good_casts
+        likely = [{v: (float((held[v][k] + 1) / good_casts[k]), float((all_cast[v][k] - held[v][k] + 1) / bad_casts[k])) for v in "+-"} for k in range(rules)]
+        model = LabelModel(float(((n * good).sum() + 1) / (n.sum() + 2)), likely)
+        now = np.array([model.prior, *(p for table in likely for pair in table.values() for p in pair)])
+        if before is not None and np.abs(now - before).max() < tolerance:
             break
-        before, good = now, model.posterior()
+        before, good = now, model.of_votes(cast)
     return model
 
 
@@ -134,7 +132,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Null text has no words. Texts without words get no votes, and fail by base_failed
     (under 10 words, or over 20 in 100 of its words in 5-word windows that recur).
-    Null ids, ties and repeated rows are rows like any other. No rows: no rows.
+    Null ids, ties and repeated rows are rows like any other; so are very long texts,
+    which are taken whole. Other columns play no part. No rows: no rows.
     """
     rows = checkpointed(with_votes(features(docs, docs[text_col], [docs[id_col]])).withColumnRenamed("keep_0", "doc_id"))
     model = fit(patterns(rows))
@@ -143,8 +142,14 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, with all their columns; nothing but counts of patterns is shuffled."""
-    model = fit(patterns(with_votes(features(docs, docs[text_col], []))))
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns; nothing but counts of patterns is shuffled.
+
+    Each row is written once with its votes, the model is fitted to these, and the rows
+    are read back and filtered. Null text and texts without words fail by base_failed;
+    long texts are taken whole. Null ids, ties and repeated rows are rows like any other;
+    columns named like the counts are kept as they are. No rows: no rows.
+    """
     row = F.struct(*(docs[c] for c in docs.columns))
-    voted = with_votes(features(docs, docs[text_col], [row])).where(~F.col("base_failed") & (model.posterior() >= 0.5) & (F.col("barrier") >= 0))
-    return voted.select("keep_0.*")
+    rows = checkpointed(with_votes(features(docs, docs[text_col], [row])).select("keep_0", "base_failed", "votes"))
+    model = fit(patterns(rows))
+    return rows.where(~F.col("base_failed") & (model.posterior() >= 0.5)).select("keep_0.*")

@@ -124,6 +124,47 @@ def test_the_label_model_finds_the_bad_ones(spark):
     assert quality_rules.judged(empty).count() == 0 and quality_rules.keep_good(empty).count() == 0
 
 
+def brute_em(votes, rounds=50, tolerance=1e-4):
+    """Each document by itself, no patterns: the share that is good, and how often each rule casts each vote."""
+    rules = range(len(votes[0]))
+    good = [(v.count("+") + 1) / (v.count("+") + 1 + 4 * v.count("-")) for v in votes]
+    before = None
+    for _ in range(rounds):
+        prior, table = (sum(good) + 1) / (len(votes) + 2), {}
+        for k in rules:
+            yes = {c: sum(g for g, v in zip(good, votes, strict=True) if v[k] == c) + 1 for c in "+-"}
+            no = {c: sum(1 - g for g, v in zip(good, votes, strict=True) if v[k] == c) + 1 for c in "+-"}
+            table |= {(k, c): (yes[c] / (yes["+"] + yes["-"]), no[c] / (no["+"] + no["-"])) for c in "+-"}
+        now = [prior, *(p for k in rules for c in "+-" for p in table[k, c])]
+        posterior = []
+        for v in votes:
+            a, b = prior, 1 - prior
+            for k in rules:
+                if v[k] in "+-":
+                    a, b = a * table[k, v[k]][0], b * table[k, v[k]][1]
+            posterior.append(a / (a + b))
+        if before and max(abs(x - y) for x, y in zip(before, now, strict=True)) < tolerance:
+            return posterior
+        before, good = now, posterior
+    return posterior
+
+
+def test_em_matches_a_plain_version(spark):
+    rows = labelled()
+    df = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, "few words")], "doc_id long, text string")
+    votes = {r.keep_0: r.votes for r in quality_rules.with_votes(quality_rules.features(df, df["text"], [df["doc_id"]])).select("keep_0", "votes").collect()}
+    want = dict(zip(votes, brute_em(list(votes.values())), strict=True))
+    got = {r.doc_id: r.p_good for r in quality_rules.judged(df).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and 0.2 < sum(p < 0.5 for p in want.values()) / len(want) < 0.5
+
+
+def test_the_stage_takes_odd_rows(spark):
+    text = prose(random.Random(1), 6)
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (3, ""), (4, text + " " + prose(random.Random(2), 3000))], "doc_id long, text string").withColumn("votes", F.lit("clash")).withColumn("n_words", F.lit(5))
+    kept = quality_rules.keep_good(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "4", "None"]
+
+
 def test_repeats_in_very_long_texts(spark):
     long = " ".join(f"w{i}" for i in range(40_000)) + " " + " ".join(f"w{i}" for i in range(100))
     r = quality_rules.judged(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
