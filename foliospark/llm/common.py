@@ -38,6 +38,14 @@ def shuffle_width(df: DataFrame, rows: int, per_task: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+def gathered(df: DataFrame, rows: int, per_task: int = 1 << 16) -> DataFrame:
+    """``df``, of about that many narrow rows, in as many partitions as they need and no more.
+
+    A small table over many partitions costs each step that follows as many tasks and files.
+    """
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

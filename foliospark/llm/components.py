@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, gathered
 
 
 def _measure(edges: DataFrame) -> tuple[int, int]:
@@ -21,23 +21,24 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     matter. Alternates large-star and small-star steps. A step groups by a node and
     takes a minimum, which combines before its shuffle, then joins it back; no
     neighbour list is ever held together, so a node with very many neighbours is
-    no more than a skewed join. Each round is checkpointed; only two numbers a round
-    reach the driver. No edges: no rows.
+    no more than a skewed join. Each round is checkpointed, in as many partitions as
+    its edges need; only two numbers a round reach the driver. No edges: no rows.
     """
     edges = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _measure(edges)
     for _ in range(max_rounds):
         if not before[0]:
             return edges
+        edges = gathered(edges, before[0])
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: each node hands its larger neighbours its smallest one. The edge
         # (a, b) has a > b, so b's smallest is what reaches a.
-        large = edges.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).where("a != b").distinct()
+        large = edges.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).where("a != b")
         # Small star: each node ties itself and its smaller neighbours to the smallest of these.
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(tied.unionByName(lower.select("a", F.col("m").alias("b"))).where("a != b").distinct())
+        edges = checkpointed(gathered(tied.unionByName(lower.select("a", F.col("m").alias("b"))).where("a != b").distinct(), 2 * before[0]))
         after = _measure(edges)
         if after == before:
             return edges

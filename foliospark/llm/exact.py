@@ -43,7 +43,7 @@ class Bitmap:
         at = F.col(column).bitwiseAND(F.lit(self.bits - 1)) + 1
         parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
         whole = np.zeros(self.bits // 8, dtype=np.uint8)
-        for row in parts.toLocalIterator():
+        for row in parts.collect():  # 4 KiB each, 16 MiB in all at most
             whole[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["bitmap"], dtype=np.uint8)
         self.shared = spark.sparkContext.broadcast(whole)
 
@@ -166,7 +166,7 @@ def _index(docs: DataFrame, id_col: str, text_col: str, capacity: int, max_depth
     many = keys.where("group_size > 1")
     lone = keys.where("group_size = 1")
     prefix = F.expr(f"shiftrightunsigned(h, {64 - max_depth})")
-    counts = {r["at"]: r["count"] for r in many.groupBy(prefix.alias("at")).count().toLocalIterator()}
+    counts = {r["at"]: r["count"] for r in many.groupBy(prefix.alias("at")).count().collect()}  # 2 ** max_depth rows at most
     if not counts:
         return entries, keys, None
     depth, buckets = directory(counts, capacity, max_depth)

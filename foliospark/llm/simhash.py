@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, checkpointed, narrow, shuffle_width, utf8
+from .common import arrow_rows, checkpointed, gathered, narrow, shuffle_width, utf8
 from .components import stars
 from .exact import Bitmap
 
@@ -32,8 +32,10 @@ FULL = (1 << 64) - 1
 FAN = 8
 #: Pairs of nodes looked at in one vectorised step.
 STEP = 1 << 18
-#: Texts of a group that are compared with the rest of it in the first further round; tasks that share a group.
-HUBS, SALTS = 16, 16
+#: Texts of a group that are compared with the rest of it in the first further round; how much more in each next one.
+HUBS, MORE = 16, 16
+#: Members of a group, or pairs, that one task looks at, about; sets that documents of one fingerprint are dealt out to.
+SHARE, SETS = 4096, 4096
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -211,7 +213,7 @@ def link(prints: DataFrame, radius: int = 3, capacity: int = 50_000) -> DataFram
     while True:
         rows = checkpointed(rows.select("space", "mask", F.expr("fp & mask").alias("pattern"), "fp"))
         total = rows.count()
-        few = all(bin(FULL & ~m).count("1") <= 16 for m in level)
+        few = total <= capacity or all(bin(FULL & ~m).count("1") <= 16 for m in level)
         hot = rows.groupBy(*key).count().where(F.col("count") > capacity).drop("count") if not few else None
         heavy = hot is not None and not hot.isEmpty()
         cold = rows.join(hot, key, "left_anti") if heavy else rows
@@ -277,10 +279,18 @@ def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     components; so there are fewer than documents times fingerprints, however large
     a group is. Each candidate's texts are then compared exactly. Where a candidate
     fails, its group's other links were not compared: those between the components
-    that true pairs make so far follow, hubs first, until none joins two components.
-    So the pairs found connect what all true index links would. Texts without
-    words resemble each other. Rows without an id have no pairs.
+    that true pairs make so far follow (``_rejoined``), until none joins two
+    components. So the pairs found connect what all true index links would. Texts
+    without words, null among them, resemble each other; fewer words than ``shingle``
+    are one shingle. Rows without an id have no pairs; rows that share an id are taken
+    for one. Texts of any length are taken whole; other columns play no part. No rows:
+    no pairs.
     """
+    return _resembling(docs, id_col, text_col, shingle, similarity, candidate_shingle, tries, radius, seed, capacity)[0]
+
+
+def _resembling(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, candidate_shingle: int, tries: int, radius: int, seed: int, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """(the pairs, the components that they make, as ``stars`` gives them)."""
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [_majority(_words(x), candidate_shingle, seed, tries - 1) for x in utf8(batch.column(1))]
@@ -291,48 +301,90 @@ def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(rows.dtypes)["id"]
     prints = checkpointed(rows.mapInArrow(arrow_rows(score, text=1, size=1 << 22), f"id {kind}, fps array<long>"))
     each = prints.select("id", F.posexplode("fps").alias("space", "fp")).select("id", F.col("space").cast("long").alias("space"), "fp")
-    nodes = checkpointed(each.groupBy("space", "fp").agg(F.min("id").alias("first")))
+    nodes = checkpointed(each.groupBy("space", "fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
     linked = link(nodes, radius, capacity)
     ends = linked.join(nodes.select("space", F.col("fp").alias("a"), F.col("first").alias("x")), ["space", "a"]).join(nodes.select("space", F.col("fp").alias("b"), F.col("first").alias("y")), ["space", "b"]).select("x", "y")
-    same = each.join(nodes, ["space", "fp"]).where("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y"))
+    # Documents of one fingerprint: each with the first of its set, and the sets' firsts with the first of all.
+    shared = each.join(nodes.where("n > 1").select("space", "fp", "first"), ["space", "fp"]).withColumn("set", F.pmod(F.xxhash64("id"), F.lit(SETS)))
+    shared = shared.withColumn("low", F.min("id").over(Window.partitionBy("space", "fp", "set")))
+    same = shared.select(F.col("id").alias("x"), F.when(F.col("id") == F.col("low"), F.col("first")).otherwise(F.col("low")).alias("y"))
     pairs = checkpointed(ends.unionByName(same).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    n_pairs = pairs.count()
+    pairs = gathered(pairs, n_pairs)
+    found = _compared(pairs, n_pairs, _listed(rows, pairs), shingle, similarity)
+    part = stars(found)
+    failed = pairs.join(found, ["a", "b"], "left_anti")
+    return _rejoined(rows, prints, found, failed, n_pairs, part, shingle, similarity, tries, radius)
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("key"))
-        bitmap = Bitmap(ids, "key")
-        texts = rows.where(bitmap.column(F.xxhash64("id")))
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        true = both.select("a", "b", "text_a", "text_b").mapInArrow(_resemble(shingle, similarity), f"a {kind}, b {kind}")
-        return checkpointed(true.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-    found = compared(pairs)
-    failed = checkpointed(pairs.join(found, ["a", "b"], "left_anti"))
-    part = stars(found)
-    cross = _named(_named(failed, "a", part), "b", part).where("a <> b")
+def _listed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose id is in a pair, and those few that a bitmap can't tell from them."""
+    bitmap = Bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("key")), "key")
+    return rows.where(bitmap.column(F.xxhash64("id")))
+
+
+def _compared(pairs: DataFrame, n_pairs: int, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that resemble each other, the larger id first.
+
+    A text of very many pairs is dealt out to as many tasks as they need.
+    """
+    kind, salts = dict(texts.dtypes)["id"], max(1, n_pairs // SHARE)
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(salts)))
+    if salts > 1:
+        texts = pairs.select("salt", F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id")
+    else:
+        texts = texts.withColumn("salt", F.lit(0).cast("long"))
+    both = pairs.join(texts.select("salt", F.col("id").alias("a"), F.col("text").alias("text_a")), ["a", "salt"]).join(texts.select("salt", F.col("id").alias("b"), F.col("text").alias("text_b")), ["b", "salt"])
+    true = both.select("a", "b", "text_a", "text_b").mapInArrow(_resemble(shingle, similarity), f"a {kind}, b {kind}")
+    return checkpointed(gathered(true.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n_pairs))
+
+
+def _rejoined(rows: DataFrame, prints: DataFrame, found: DataFrame, failed: DataFrame, n_pairs: int, part: DataFrame, shingle: int, similarity: float, tries: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(found and the pairs that join its components along links for which failed ones stood, the components then).
+
+    A group is what failed pairs connect. Its largest component at first is its core.
+    All its members but those that have joined the core meet the rest of the group, in
+    blocks that grow: in the end each two members that are not of one component have
+    met, and no two of the core need to. So a group of very many copies of one text
+    costs no more than its size for each member that isn't one.
+    """
+    cross = checkpointed(_named(_named(failed, "a", part), "b", part).where("a <> b"))
+    if cross.isEmpty():
+        return found, part
     groups = stars(cross)
     groups = groups.select(F.col("a").alias("v"), F.col("b").alias("k")).unionByName(groups.select(F.col("b").alias("v"), F.col("b").alias("k")).distinct())
     inside = part.select(F.col("a").alias("id"), F.col("b").alias("v")).unionByName(groups.select(F.col("v").alias("id"), "v"))
-    members = inside.join(groups, "v").select("id", "k")
-    sizes = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
-    members = checkpointed(members.join(sizes, "k").join(prints, "id").withColumn("turn", F.expr("pmod(xxhash64(id), size)")))
+    members = inside.join(groups, "v").select("id", "v", "k")
+    sizes = members.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.sum("n").alias("size"), F.max_by("v", F.struct("n", "v")).alias("core"))
+    degrees = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    members = members.join(sizes, "k").join(degrees, "id", "left").withColumn("turn", F.expr("pmod(xxhash64(id), size)"))
+    # The core's best linked text comes first.
+    members = checkpointed(gathered(members.join(prints, "id"), 4 * n_pairs, 1 << 14))
+    heads = checkpointed(gathered(members.where("v = core").groupBy("k").agg(F.max_by("id", F.struct("degree", "id")).alias("head")), n_pairs))
+    members = members.join(heads, "k").drop("v", "degree")
+    texts = checkpointed(_listed(rows, members.select(F.col("id").alias("a"), F.col("k").alias("b"))))
     past, now = 0, HUBS
     while True:
-        own = _named(members.withColumn("v", F.col("id")), "v", part)
-        mixed = own.groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.first("size").alias("n")).where("low <> high").select("k", "n")
-        left = mixed.agg(F.max("n")).first()[0]
-        if left is None or past >= left:
-            return found
-        own = checkpointed(own.join(mixed.select("k"), "k", "left_semi"))
-        degrees = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        heads = own.where(F.col("turn") >= past).join(degrees, "id").groupBy("v").agg(F.max_by("id", F.struct("degree", "id")).alias("id")).select("id", F.lit(True).alias("head"))
-        hubs = own.join(heads, "id", "left").where(((F.col("turn") >= past) & (F.col("turn") < now)) | F.col("head"))
-        hubs = hubs.select("k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("id").alias("b"), F.col("v").alias("vb"), F.col("fps").alias("fb"))
-        others = own.where(F.col("turn") >= past).select("k", F.expr(f"cast(pmod(xxhash64(id, 1), {SALTS}) as int)").alias("salt"), F.col("id").alias("a"), F.col("v").alias("va"), F.col("fps").alias("fa"))
+        own = _named(_named(members.withColumn("v", F.col("id")), "v", part), "core", part)
+        outside = F.col("v") != F.col("core")
+        left = own.where(outside & (F.col("turn") >= past)).select("k").distinct()
+        own = checkpointed(gathered(own.join(left, "k", "left_semi"), 4 * n_pairs, 1 << 14))
+        if own.isEmpty():
+            return found, part
+        salts = F.ceil(F.col("size") / SHARE).cast("long")
+        first = (F.col("id") == F.col("head")) if past == 0 else F.lit(False)
+        hubs = own.where(outside & F.col("turn").between(past, now - 1) | first)
+        hubs = hubs.select("k", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("id").alias("b"), F.col("v").alias("vb"), F.col("fps").alias("fb"))
+        others = own.where((F.col("turn") >= past) | ~outside).select("k", F.pmod(F.xxhash64("id", F.lit(1)), salts).alias("salt"), F.col("id").alias("a"), F.col("v").alias("va"), F.col("fps").alias("fa"))
         near = " or ".join(f"bit_count(fa[{i}] ^ fb[{i}]) <= {radius}" for i in range(tries))
         more = checkpointed(others.join(hubs, ["k", "salt"]).where("va <> vb").where(near).select("a", "b").distinct())
-        found = checkpointed(found.unionByName(compared(more)).distinct())
-        part = stars(found)
-        past, now = now, now * 8
+        n_more = more.count()
+        if n_more:
+            new = _compared(gathered(more, n_more), n_more, texts, shingle, similarity)
+            found = found.unionByName(new)
+            joined = stars(_named(_named(new, "a", part), "b", part))
+            part = checkpointed(_named(part, "b", joined).unionByName(joined))
+        past, now = now, now * MORE
 
 
 def _named(rows: DataFrame, column: str, part: DataFrame) -> DataFrame:
@@ -346,13 +398,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A group: what links of ``near_duplicates`` connect and, with a ``similarity``,
     pairs that share that much of their five-word shingles (``resembling``). Rows of
-    one id stay or go together; rows without an id stay. Only rows whose id a bitmap
-    can't tell from a dropped one are shuffled.
+    one id stay or go together; rows without an id stay. Null and empty texts are one
+    group. Texts of any length are taken whole; columns of any name are kept as they
+    are. Only rows whose id a bitmap can't tell from a dropped one are shuffled. No
+    rows: no rows.
     """
     found = checkpointed(near_duplicates(docs, id_col, text_col, shingle, radius, seed).where("doc_id is not null").select("doc_id", "component_id").where("doc_id <> component_id"))
     edges = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     if similarity is not None:
-        edges = edges.unionByName(resembling(docs, id_col, text_col, 5, similarity, radius=radius, seed=seed))
+        edges = edges.unionByName(_resembling(docs, id_col, text_col, 5, similarity, 2, 20, radius, seed, 50_000)[1])
     dropped = checkpointed(stars(edges).select(F.col("a").alias("doc_id"), F.xxhash64("a").alias("key")).distinct())
     bitmap = Bitmap(dropped, "key")
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id")).withColumn("listed", bitmap.column(F.xxhash64("id")))

@@ -140,6 +140,33 @@ def test_variants_of_one_text_are_found_beside_failed_links(spark):
     assert len(true) > 200 and len(links) > 5 * len(true) and all(root[a] == root[b] for a, b in true)
 
 
+def test_a_large_group_at_the_edge_is_put_together(spark):
+    """One template with a few edits each, so that about one pair in a hundred is similar enough: recall against all pairs."""
+    random.seed(21)
+    base = [f"w{random.randrange(400)}" for _ in range(200)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for at in random.sample(range(200), random.randint(3, 5)):
+            own[at] = f"x{random.randrange(9000)}"
+        rows.append((i, " ".join(own)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    true = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = [(r.a, r.b) for r in simhash.resembling(spark.createDataFrame(rows, DOC)).collect()]
+    root = list(range(len(rows)))
+    for a, b in got:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert len(true) > 100 and sum(root[a] == root[b] for a, b in true) >= 0.97 * len(true) and all(jaccard(rows[a][1], rows[b][1]) >= 0.8 for a, b in got)
+
+
+def test_near_dedup_takes_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, long), (4, long + " end"), (5, "alone here"), (5, "alone here"), (None, long), (None, None)]
+    df = spark.createDataFrame(rows, DOC).withColumn("salt", F.lit("clash")).withColumn("key", F.lit(1))
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "5", "5", "None", "None"]
+
+
 def test_drop_near_duplicates_keeps_one_of_each(spark):
     rows = near_copies(60)
     df = spark.createDataFrame(rows, DOC).withColumn("row", F.lit(3)).withColumn("key", F.lit("k"))
