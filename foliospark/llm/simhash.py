@@ -17,6 +17,8 @@ A pattern's task returns a spanning forest of its links, not its pairs.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,8 +34,8 @@ FULL = (1 << 64) - 1
 FAN = 8
 #: Pairs of nodes looked at in one vectorised step.
 STEP = 1 << 18
-#: Texts of a group that are compared with the rest of it in the first further round; how much more in each next one.
-HUBS, MORE = 16, 16
+#: Texts of a group that are compared with the rest of it in the first further round; how much more in each next one, up to what.
+HUBS, MORE, MOST = 16, 16, 4096
 #: Members of a group, or pairs, that one task looks at, about; sets that documents of one fingerprint are dealt out to.
 SHARE, SETS = 4096, 4096
 
@@ -252,19 +254,20 @@ def as_hex(fp) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _shingles(text: bytes | None, shingle: int) -> set[bytes]:
+    words = _words(text)
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
 def _resemble(shingle: int, similarity: float):
     """For mapInArrow over (a, b, text_a, text_b): the pairs whose shingle sets have that Jaccard similarity."""
 
-    def shingles(text: bytes | None) -> set[bytes]:
-        words = _words(text)
-        return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep, last, own = [], None, set()
         for a, b in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
             if b != last:
-                last, own = b, shingles(b)
-            other = shingles(a)
+                last, own = b, _shingles(b, shingle)
+            other = _shingles(a, shingle)
             keep.append(len(own & other) >= similarity * len(own | other))
         return batch.filter(pa.array(keep)).select(["a", "b"])
 
@@ -339,6 +342,17 @@ def _compared(pairs: DataFrame, n_pairs: int, texts: DataFrame, shingle: int, si
     return checkpointed(gathered(true.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n_pairs))
 
 
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, set): each text's shingles as sorted 64-bit hashes; of rows that share an id, the smallest set."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sorted(x - (1 << 64) if x >> 63 else x for x in map(xxhash.xxh64_intdigest, _shingles(t, shingle))) for t in utf8(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
+
+    rows = texts.select("id", "text").mapInArrow(arrow_rows(run, text=1, size=1 << 22), f"id {dict(texts.dtypes)['id']}, set array<long>")
+    return rows.groupBy("id").agg(F.min("set").alias("set"))
+
+
 def _rejoined(rows: DataFrame, prints: DataFrame, found: DataFrame, failed: DataFrame, n_pairs: int, part: DataFrame, shingle: int, similarity: float, tries: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """(found and the pairs that join its components along links for which failed ones stood, the components then).
 
@@ -346,7 +360,9 @@ def _rejoined(rows: DataFrame, prints: DataFrame, found: DataFrame, failed: Data
     All its members but those that have joined the core meet the rest of the group, in
     blocks that grow: in the end each two members that are not of one component have
     met, and no two of the core need to. So a group of very many copies of one text
-    costs no more than its size for each member that isn't one.
+    costs no more than its size for each member that isn't one. Where two meet, the
+    join's condition compares their fingerprints and, if these are linked, their sets
+    of hashed shingles; only what resembles leaves it, once for a text and component.
     """
     cross = checkpointed(_named(_named(failed, "a", part), "b", part).where("a <> b"))
     if cross.isEmpty():
@@ -357,34 +373,38 @@ def _rejoined(rows: DataFrame, prints: DataFrame, found: DataFrame, failed: Data
     members = inside.join(groups, "v").select("id", "v", "k")
     sizes = members.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.sum("n").alias("size"), F.max_by("v", F.struct("n", "v")).alias("core"))
     degrees = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    members = members.join(sizes, "k").join(degrees, "id", "left").withColumn("turn", F.expr("pmod(xxhash64(id), size)"))
+    members = checkpointed(gathered(members.join(sizes, "k").join(degrees, "id", "left").withColumn("turn", F.expr("pmod(xxhash64(id), size)")), 4 * n_pairs))
     # The core's best linked text comes first.
-    members = checkpointed(gathered(members.join(prints, "id"), 4 * n_pairs, 1 << 14))
-    heads = checkpointed(gathered(members.where("v = core").groupBy("k").agg(F.max_by("id", F.struct("degree", "id")).alias("head")), n_pairs))
-    members = members.join(heads, "k").drop("v", "degree")
-    texts = checkpointed(_listed(rows, members.select(F.col("id").alias("a"), F.col("k").alias("b"))))
+    heads = members.where("v = core").groupBy("k").agg(F.max_by("id", F.struct("degree", "id")).alias("head"))
+    members = checkpointed(gathered(members.join(heads, "k").drop("v", "degree"), 4 * n_pairs))
+    held = _sets(_listed(rows, members.select(F.col("id").alias("a"), F.col("head").alias("b"))), shingle)
+    held = checkpointed(gathered(members.select("id").join(held, "id").join(prints.dropDuplicates(["id"]), "id"), 4 * n_pairs, 1 << 12))
+    share = Fraction(similarity).limit_denominator(10_000)
+    num, den = share.numerator, share.denominator
+    near = " or ".join(f"bit_count(fa[{i}] ^ fb[{i}]) <= {radius}" for i in range(tries))
+    alike = f"size(array_intersect(sa, sb)) * {num + den}L >= {num}L * (size(sa) + size(sb))"
     past, now = 0, HUBS
     while True:
         own = _named(_named(members.withColumn("v", F.col("id")), "v", part), "core", part)
         outside = F.col("v") != F.col("core")
         left = own.where(outside & (F.col("turn") >= past)).select("k").distinct()
-        own = checkpointed(gathered(own.join(left, "k", "left_semi"), 4 * n_pairs, 1 << 14))
+        own = checkpointed(gathered(own.join(left, "k", "left_semi"), 4 * n_pairs))
         if own.isEmpty():
             return found, part
         salts = F.ceil(F.col("size") / SHARE).cast("long")
         first = (F.col("id") == F.col("head")) if past == 0 else F.lit(False)
-        hubs = own.where(outside & F.col("turn").between(past, now - 1) | first)
-        hubs = hubs.select("k", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("id").alias("b"), F.col("v").alias("vb"), F.col("fps").alias("fb"))
-        others = own.where((F.col("turn") >= past) | ~outside).select("k", F.pmod(F.xxhash64("id", F.lit(1)), salts).alias("salt"), F.col("id").alias("a"), F.col("v").alias("va"), F.col("fps").alias("fa"))
-        near = " or ".join(f"bit_count(fa[{i}] ^ fb[{i}]) <= {radius}" for i in range(tries))
-        more = checkpointed(others.join(hubs, ["k", "salt"]).where("va <> vb").where(near).select("a", "b").distinct())
-        n_more = more.count()
-        if n_more:
-            new = _compared(gathered(more, n_more), n_more, texts, shingle, similarity)
+        hubs = own.where(outside & F.col("turn").between(past, now - 1) | first).join(held, "id")
+        hubs = hubs.select("k", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("id").alias("b"), F.col("v").alias("vb"), F.col("fps").alias("fb"), F.col("set").alias("sb"))
+        others = own.where((F.col("turn") >= past) | ~outside).join(held, "id")
+        others = others.select("k", F.pmod(F.xxhash64("id", F.lit(1)), salts).alias("salt"), F.col("id").alias("a"), F.col("v").alias("va"), F.col("fps").alias("fa"), F.col("set").alias("sa"))
+        met = others.join(hubs, ["k", "salt"]).where(f"va <> vb and {num}L * greatest(size(sa), size(sb)) <= {den}L * least(size(sa), size(sb)) and ({near}) and {alike}")
+        new = met.groupBy("a", "vb").agg(F.min("b").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        new = checkpointed(gathered(new, 4 * n_pairs))
+        if not new.isEmpty():
             found = found.unionByName(new)
             joined = stars(_named(_named(new, "a", part), "b", part))
-            part = checkpointed(_named(part, "b", joined).unionByName(joined))
-        past, now = now, now * MORE
+            part = checkpointed(gathered(_named(part, "b", joined).unionByName(joined), 4 * n_pairs))
+        past, now = now, min(now * MORE, now + MOST)
 
 
 def _named(rows: DataFrame, column: str, part: DataFrame) -> DataFrame:
