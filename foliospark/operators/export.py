@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pages import by_group
+
 PAGE = ["doc_id", "page_index"]
 
 
@@ -32,6 +36,15 @@ def replaced_pages(source: DataFrame, new: DataFrame, columns: list[str]) -> Dat
     return found.select(*PAGE, *picked, F.coalesce("_there", F.lit(False)).alias("replaced"))
 
 
+def assembled_pages(source: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """``replaced_pages``; an error for two new pages of one place, or one of a place that the document hasn't."""
+    counts = new.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("_n"))
+    places = source.select(*PAGE, F.lit(True).alias("_place"))
+    check = F.assert_true((F.col("_n") == 1) & F.coalesce("_place", F.lit(False)), F.lit("invalid recovery page"))
+    sound = counts.join(places, PAGE, "left").withColumn("_ok", check).where("_ok is null").select(*PAGE)
+    return replaced_pages(source, new.join(sound, PAGE, "left_semi"), columns)
+
+
 def missing_links(source: DataFrame, output: DataFrame) -> DataFrame:
     """Source links without an equal one in the output: same page, kind and rect."""
     return source.join(output, [*PAGE, "kind", "rect"], "left_anti")
@@ -61,10 +74,17 @@ def export_blocks(paragraphs: DataFrame, sources: DataFrame, entries: DataFrame)
 
 
 def export_pages(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_index, blocks): a page's blocks in order, as one array."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "source", "translation", "kind")))
     return blocks.groupBy(*PAGE).agg(F.transform(ordered, lambda b: F.struct(b["source"].alias("source"), b["translation"].alias("translation"), b["kind"].alias("kind"))).alias("blocks"))
 
 
+def exported_pages(snapshot: DataFrame) -> DataFrame:
+    """``export_pages`` of a snapshot's pages: arrays paragraphs (debug_id, pos, text), sources (debug_id, source) and entries (entry_id, parents, source, text, kind)."""
+    paragraphs, sources, entries = (snapshot.select(*PAGE, F.inline(c)) for c in ("paragraphs", "sources", "entries"))
+    return export_pages(export_blocks(paragraphs, sources, entries))
+
+
 def il_regions(documents: DataFrame) -> DataFrame:
     """Body and inline-formula regions of documents in either naming: doc_id, page_index, kind, box, text.
 
@@ -89,6 +109,16 @@ def one_of_each(resources: DataFrame) -> DataFrame:
     return resources.groupBy(F.sha2("content", 256).alias("sha256")).agg(F.first("content").alias("content"), F.count(F.lit(1)).alias("copies"))
 
 
+def verified_parts(parts: DataFrame, contents: DataFrame, counts: DataFrame) -> DataFrame:
+    """Parts (doc_id, first, last, sha256) within their document (counts: doc_id, page_count) whose content has their digest; an error for any other.
+
+    contents: doc_id, first, content.
+    """
+    found = parts.join(contents.select("doc_id", "first", F.sha2("content", 256).alias("_sha")), ["doc_id", "first"], "left").join(counts.select("doc_id", "page_count"), "doc_id", "left")
+    good = (F.col("first") >= 0) & (F.col("first") <= F.col("last")) & (F.col("last") < F.col("page_count")) & F.col("_sha").eqNullSafe(F.col("sha256"))
+    return found.withColumn("_ok", F.assert_true(F.coalesce(good, F.lit(False)), F.lit("invalid part"))).where("_ok is null").select(*parts.columns)
+
+
 def overlapping_parts(parts: DataFrame) -> DataFrame:
     """Parts (doc_id, first, last) that start before an earlier one of their document ends."""
     earlier = Window.partitionBy("doc_id").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,15 +140,47 @@ def manifest(selected: DataFrame, parts: DataFrame, longest: int = 16) -> DataFr
 
 
 def chunks(pages: DataFrame, limit: int = 16, focus: int | None = None) -> DataFrame:
-    """Contiguous parts of at most ``limit`` pages; ``turn`` is the order of work, the part with the focus page first."""
-    order = Window.partitionBy("doc_id").orderBy("page_index")
-    numbered = pages.withColumn("_n", F.row_number().over(order) - 1).withColumn("_gap", F.col("page_index") - F.row_number().over(order))
-    numbered = numbered.withColumn("_k", F.floor((F.row_number().over(Window.partitionBy("doc_id", "_gap").orderBy("page_index")) - 1) / limit))
-    parts = numbered.groupBy("doc_id", "_gap", "_k").agg(F.min("page_index").alias("first"), F.max("page_index").alias("last")).drop("_gap", "_k")
+    """Parts of ``limit`` pages from a document's first on, where it has any; ``turn`` is the order of work, the part with the focus page first."""
+    ends = pages.groupBy("doc_id").agg(F.min("page_index").alias("_low"), F.max("page_index").alias("_high"))
+    parts = pages.join(ends, "doc_id").select("doc_id", "_high", (F.col("_low") + F.floor((F.col("page_index") - F.col("_low")) / limit) * limit).alias("first")).distinct()
+    parts = parts.select("doc_id", "first", F.least("_high", F.col("first") + limit - 1).alias("last"))
     ahead = F.lit(False) if focus is None else F.lit(focus).between(F.col("first"), F.col("last"))
     return parts.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy(~ahead, "first")))
 
 
+def admitted_parts(first: int, last: int, admitted: int, focus: int | None = None) -> list[tuple[int, int]]:
+    """A part cut down to runs of at most ``admitted`` pages, in the order of work: the run round the focus page, what is before it, what is behind."""
+    if last - first + 1 <= admitted:
+        return [(first, last)]
+    start = max(first, min(focus, last - admitted + 1)) if focus is not None and first <= focus <= last else first
+    rest = [x for low, high in ((first, start - 1), (start + admitted, last)) if low <= high for x in admitted_parts(low, high, admitted, focus)]
+    return [(start, start + admitted - 1), *rest]
+
+
+def worked(pages: DataFrame, work: Callable[[list], list], kind: str, fatal: tuple[type[BaseException], ...] = (ImportError, FileNotFoundError, PermissionError)) -> DataFrame:
+    """(doc_id, page_index, result, error): ``work`` on the rows of each part (doc_id, part), a value a row.
+
+    A part that fails is halved again and again, down to the page that fails by itself:
+    its result is null, and ``error`` says why. Errors that no page is to blame for, and
+    memory errors of a single page, stop the task.
+    """
+
+    def halves(rows: list):
+        try:
+            return [(r.doc_id, r.page_index, value, None) for r, value in zip(rows, work(rows), strict=True)]
+        except fatal:
+            raise
+        except Exception as error:  # noqa: BLE001
+            if len(rows) == 1:
+                if isinstance(error, MemoryError):
+                    raise
+                return [(rows[0].doc_id, rows[0].page_index, None, f"{type(error).__name__}: {error}")]
+        middle = len(rows) // 2
+        return halves(rows[:middle]) + halves(rows[middle:])
+
+    return by_group(pages, ["doc_id", "part"], ["page_index"], halves, f"doc_id long, page_index int, result {kind}, error string")
+
+
 def compared(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two versions page by page; an error where a document's page counts differ."""
     a, b = left.select(*PAGE, F.col("text").alias("left_text")), right.select(*PAGE, F.col("text").alias("right_text"))
@@ -137,6 +199,11 @@ def evicted(cache: DataFrame, limit: int) -> DataFrame:
     return cache.withColumn("_sum", total).withColumn("_n", F.row_number().over(order)).where(F.col("_n") > 1).where(F.col("_sum") > limit).drop("_sum", "_n")
 
 
+def cache_key(*parts: Column) -> Column:
+    """The digest that names a cached file: of its source, page, scale and the version of what made it."""
+    return F.sha2(F.concat_ws(":", *(p.cast("string") for p in parts)), 256)
+
+
 def isolated(pages: DataFrame, work, schema: str) -> DataFrame:
     """``work`` on each row dict, in ``result``; a row that fails has null and its ``error`` instead, and stops no other.
 

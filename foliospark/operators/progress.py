@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pages import by_group, fields
+from .pages import running
 
 
 def stage_costs(samples: DataFrame) -> DataFrame:
@@ -26,19 +26,39 @@ def waiting(requests: DataFrame, now: int) -> DataFrame:
 
 
 def throttled(frames: DataFrame, interval: float = 0.35) -> DataFrame:
-    """The frames of a page that go out: the first, complete ones, and those at least ``interval`` after the last that did.
+    """The frames of a page that go out: the first, complete or sealed ones, and those at least ``interval`` after the last that did.
 
     frames: doc_id, page_index, revision, at (seconds), complete.
     """
 
-    def run(page: list):
+    def start():
         last = None
-        for r in page:
-            if last is None or r.complete or r.at - last >= interval:
-                last = r.at
-                yield tuple(r)
 
-    return by_group(frames, ["doc_id", "page_index"], ["revision"], run, fields(frames))
+        def step(complete: bool, at: float) -> bool:
+            nonlocal last
+            goes = last is None or bool(complete) or at - last >= interval
+            if goes:
+                last = at
+            return goes
+
+        return step
+
+    return running(frames, ["doc_id", "page_index"], ["revision"], ["complete", "at"], start, "goes", "boolean").where("goes").drop("goes")
+
+
+#: What a progress report keeps.
+REPORTED = ["type", "stage", "overall_progress", "stage_current", "stage_total", "page_count", "completed_pages", "total_pages", "batch_first", "batch_last"]
+
+
+def reported(events: DataFrame) -> DataFrame:
+    """(job_id, seq, report): each progress event's map ``event`` with the allowed fields only."""
+    return events.select("job_id", "seq", F.map_filter("event", lambda k, _: k.isin(REPORTED)).alias("report"))
+
+
+def first_warnings(events: DataFrame, most: int = 64) -> DataFrame:
+    """The first ``most`` warnings of each job (job_id, seq, message)."""
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("seq"))
+    return events.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
 
 
 def revisions(frames: DataFrame, start: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import statistics
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,26 @@ from .pages import by_group
 PAGE = ["doc_id", "page_index"]
 
 
+def hidden_shares(spans: DataFrame) -> DataFrame:
+    """(doc_id, page_index, hidden_share): the share of a page's characters that are drawn invisibly. spans: mode, n_chars."""
+    return spans.groupBy(*PAGE).agg(F.coalesce(F.sum(F.when(F.col("mode") == 3, F.col("n_chars")).otherwise(0)) / F.nullif(F.sum("n_chars"), F.lit(0)), F.lit(0.0)).alias("hidden_share"))
+
+
 def page_quality(pages: DataFrame) -> DataFrame:
-    """``quality`` of pages (text of the body band, image_share, hidden_share): scanned, image-text, bitmap-text or healthy."""
-    health = T.text_health(F.col("text"))
-    scanned = (F.col("image_share") >= 0.45) & (F.col("hidden_share") > 0.8)
-    return pages.withColumn("quality", F.when(scanned, "scanned").when((health == "sparse") & (F.col("image_share") > 0.45), "image-text").when(health == "broken", "bitmap-text").otherwise("healthy"))
+    """``quality`` of pages: bitmap-text, image-text, scanned or healthy, the first that holds.
+
+    text: of the body band; image_share: of the body band that images cover, 0
+    without any; page_share: of the whole page; hidden_share: of its characters;
+    bitmap_fonts, unencoded: whether fonts of drawn glyphs are used, and whether their
+    codes are unknown. Text in such fonts is bad if it has over 20 characters and
+    unknown codes, over 20 bad characters or many loose letters; other text if it is
+    sparse or broken below images that cover over 45 % of the band.
+    """
+    text = F.col("text")
+    bitmap = F.col("bitmap_fonts") & (F.char_length(text) > 20) & (F.col("unencoded") | (T.bad_characters(text) > 20) | T.loose_letters(text))
+    image = (F.col("image_share") > 0.45) & (T.text_health(text) != "healthy")
+    scanned = (F.col("page_share") >= 0.45) & (F.col("hidden_share") > 0.8)
+    return pages.withColumn("quality", F.when(bitmap, "bitmap-text").when(image, "image-text").when(scanned, "scanned").otherwise("healthy"))
 
 
 def quality_rollup(pages: DataFrame) -> DataFrame:
@@ -48,10 +65,10 @@ def body_gate(requests: DataFrame) -> DataFrame:
     return requests.groupBy("doc_id").agg(F.when(F.sum(F.col("is_body").cast("int")) > 0, F.lit(None).cast("string")).otherwise("document_no_body_text").alias("error"))
 
 
-def body_request(graphic_text: Column, label: Column, text: Column) -> Column:
-    """A request counts as body if it is no graphic's, or a caption's, or graphics are wanted and it has two letters."""
-    bare = F.regexp_replace(F.regexp_replace(text, T.CID_MARKER, ""), T.STYLE_MARKER, "")
-    return F.when(label.like("%caption%") | graphic_text, T.letters(bare) >= 2).otherwise(T.is_body(text, label))
+def body_request(graphics: Column, label: Column, text: Column) -> Column:
+    """A request counts as body if its text is, or if it is a caption's, or with ``graphics`` a graphic's, and has two letters."""
+    wanted = label.isin(T.CAPTION_LABELS) | (graphics & label.isin(T.GRAPHIC_LABELS))
+    return T.is_body(text, label) | F.coalesce(wanted & (T.letters(F.regexp_replace(text, T.STYLE_MARKER, "")) >= 2), F.lit(False))
 
 
 def translatable(vertical: Column, prepared: Column, shortest: int = 1) -> Column:
@@ -76,18 +93,18 @@ def line_pitch(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_step", step).where("_step > 4 and _step < 50").groupBy(*PAGE).agg((F.median("_step") / 1.2).alias("pitch"))
 
 
-def prose_pages(paragraphs: DataFrame) -> DataFrame:
-    """Pages with two biography starts or more and no reference marker."""
-    start = F.regexp_replace(F.lower(F.substring("text", 1, 300)), "[ \\t\\n\\r]", "").rlike("wasborn|graduatedfrom|received[a-z'.]*(?:degree|ph\\.?d|bachelor|master|doctor|[bm]\\.?s)")
-    sums = paragraphs.groupBy(*PAGE).agg(F.sum(start.cast("int")).alias("n"), F.bool_or(F.col("text").rlike(T.REFERENCE_MARKER)).alias("m"))
-    return sums.where("n >= 2 and not m").select(*PAGE)
+def image_shares(images: DataFrame, pages: DataFrame, band: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """(doc_id, page_index, image_share): the images' areas within a band of the page's height over the band's, at most 1; pages without images have 0."""
+    low, high = F.lit(band[0]) * F.col("height"), F.lit(band[1]) * F.col("height")
+    wide = F.greatest(F.least("x2", "width") - F.greatest(F.col("x"), F.lit(0.0)), F.lit(0.0))
+    tall = F.greatest(F.least(F.col("y2"), high) - F.greatest(F.col("y"), low), F.lit(0.0))
+    sums = images.join(pages.select(*PAGE, "width", "height"), PAGE).groupBy(*PAGE).agg(F.sum(wide * tall).alias("_a"))
+    share = F.least(F.coalesce("_a", F.lit(0.0)) / (F.col("width") * (high - low)), F.lit(1.0))
+    return pages.join(sums, PAGE, "left").select(*PAGE, share.alias("image_share"))
 
 
-def image_shares(images: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page_index, image_share): the images' areas over the page's, at most 1; pages without images have 0."""
-    sums = images.groupBy(*PAGE).agg(F.sum(F.greatest(F.col("x2") - F.col("x"), F.lit(0.0)) * F.greatest(F.col("y2") - F.col("y"), F.lit(0.0))).alias("_a"))
-    share = F.least(F.coalesce("_a", F.lit(0.0)) / (F.col("width") * F.col("height")), F.lit(1.0))
-    return pages.join(sums, PAGE, "left").select(*PAGE, share.alias("image_share"))
+#: What makes a formula of characters and fonts.
+FORMULA_SIGNS, FORMULA_FONTS = "[α-ωΑ-Ω∑∏∫√∞∂∇=+<>]", "math|symbol|cmmi|cmsy|cmex"
 
 
 def text_formulas(formulas: DataFrame) -> DataFrame:
@@ -95,19 +112,28 @@ def text_formulas(formulas: DataFrame) -> DataFrame:
 
     formulas: curves, forms (numbers), chars, fonts (arrays).
     """
-    signs = r"[Ͱ-Ͽ∀-⋿⨀-⫿=+<>±×÷√∞]"
-    plain = F.forall("chars", lambda c: ~c.rlike(signs)) & F.forall("fonts", lambda f: ~F.lower(f).rlike("math|symbol|cmmi|cmsy|cmex|stix"))
+    plain = F.forall("chars", lambda c: ~c.rlike(FORMULA_SIGNS)) & F.forall("fonts", lambda f: ~F.lower(f).rlike(FORMULA_FONTS))
     return formulas.where((F.col("curves") == 0) & (F.col("forms") == 0) & plain)
 
 
+def capped(frame: DataFrame, most: int, what: str) -> DataFrame:
+    """The rows; an error if a document has more than ``most``."""
+    sizes = frame.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ok", F.assert_true(F.col("_n") <= most, F.lit(f"too many {what}")))
+    return frame.join(sizes.where("_ok is null").select("doc_id"), "doc_id", "left_semi")
+
+
 def checked_entries(entries: DataFrame, most: int = 10_000) -> DataFrame:
     """Entries of known kinds with texts of at most 40,000 and labels of at most 16 characters of a label's shape.
 
-    An error if a document has more than ``most`` of them.
+    An error if a document has more than ``most`` entries of any kind.
     """
-    good = entries.where(F.col("kind").isin("reference", "list", "toc") & (F.char_length("text") <= 40_000) & (F.char_length("label") <= 16) & F.col("label").rlike(r"^(?:|[(\[（]?[0-9A-Za-z.]{1,12}[.)\]）、]?|[•◦▪‣●○–*])$"))
-    sizes = good.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ok", F.assert_true(F.col("_n") <= most, F.lit("too many entries")))
-    return good.join(sizes.where("_ok is null").select("doc_id"), "doc_id")
+    label = F.coalesce("label", F.lit(""))
+    return capped(entries, most, "entries").where(F.coalesce("kind", F.lit("reference")).isin("reference", "list", "toc") & (F.char_length("text") <= 40_000) & (F.char_length(label) <= 16) & label.rlike(T.ENTRY_LABEL))
+
+
+def checked_exclusions(exclusions: DataFrame, most: int = 20_000) -> DataFrame:
+    """The exclusions; an error if a document has more than ``most``."""
+    return capped(exclusions, most, "exclusions")
 
 
 def label_glyphs(entries: DataFrame) -> DataFrame:
@@ -126,28 +152,69 @@ def label_glyphs(entries: DataFrame) -> DataFrame:
     return entries.withColumn("n_label", F.when(want == "", F.lit(0)).otherwise(F.aggregate("chars", start, step, lambda a: a["at"])))
 
 
-def title_regions(words: DataFrame, near: float = 8.0, apart: float = 12.0, least: int = 8, most: int = 2) -> DataFrame:
-    """(doc_id, page_index, region, x, y, x2, y2): rows of at least ``least`` characters, near ones with a common width joined; the first two of a page.
+def tail_glyphs(entries: DataFrame) -> DataFrame:
+    """``n_tail``, ``n_leaders``: how many of the last glyphs (array ``chars``, in order) make up ``page_label``, and how many leaders and blanks stand before them; null if they don't.
+
+    Two passes from the right, each with what it has put together so far.
+    """
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("seen"), F.lit(None).cast("int").alias("at"))
+
+    def step(a, c):
+        text, seen = F.concat(F.trim(c), a["text"]), a["seen"] + 1
+        return F.struct(F.when(a["at"].isNull(), text).otherwise(a["text"]).alias("text"), seen.alias("seen"), F.coalesce(a["at"], F.when(text == F.col("page_label"), seen)).alias("at"))
+
+    def leader(a, c):
+        goes = a["goes"] & c.rlike(rf"^[{T.LEADERS} ]*$")
+        return F.struct((a["n"] + goes.cast("int")).alias("n"), goes.alias("goes"))
+
+    found = entries.withColumn("n_tail", F.aggregate(F.reverse("chars"), start, step, lambda a: a["at"]))
+    before = F.slice(F.reverse("chars"), F.coalesce(F.col("n_tail"), F.lit(0)) + 1, F.greatest(F.size("chars"), F.lit(1)))
+    leaders = F.aggregate(before, F.struct(F.lit(0).alias("n"), F.lit(True).alias("goes")), leader, lambda a: a["n"])
+    return found.withColumn("n_leaders", F.when(F.col("n_tail").isNotNull(), leaders))
 
-    words: text and box.
+
+def title_regions(glyphs: DataFrame, pages: DataFrame, words: DataFrame, least: int = 8, most: int = 2, share: float = 0.7) -> DataFrame:
+    """(doc_id, page_index, region, x, y, x2, y2): where large drawn glyphs at the top of a page have not been recognised.
+
+    glyphs: x, y (their origins, y down) and w; pages: width, height; words: boxes of
+    what was recognised. Glyphs of over 1.35 times the median width in the top fifth
+    make rows of origins within 8 points; rows of ``least`` glyphs, less than
+    ``share`` of them in words, make regions, which are joined if they are less than
+    12 points apart and share some width. Of the first ``most``, those stay that have
+    at least 35 % of the page's width and less than ``share`` of their glyphs in words.
     """
+    centre = F.col("x") + 0.5 * F.col("w")
+    numbered = glyphs.withColumn("n", F.monotonically_increasing_id())
+    boxes = words.select(*PAGE, *(F.col(c).alias(f"_{c}") for c in ("x", "y", "x2", "y2")))
+    hit = numbered.join(boxes, PAGE).where(centre.between(F.col("_x") - 2, F.col("_x2") + 2) & F.col("y").between(F.col("_y") - 3, F.col("_y2") + 4)).select("n").distinct()
+    marked = numbered.join(hit.withColumn("known", F.lit(True)), "n", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
     def run(page: list):
+        typical = statistics.median(g.w for g in page)
         rows: list[list] = []
-        for w in page:
-            if rows and abs(rows[-1][0].y - w.y) <= near:
-                rows[-1].append(w)
-            else:
-                rows.append([w])
-        boxes: list[list[float]] = []
+        for g in page:
+            if g.y < 0.2 * g.height and g.w > 1.35 * typical:
+                row = next((r for r in rows if abs(r[0].y - g.y) < 8), None)
+                if row is None:
+                    rows.append([g])
+                else:
+                    row.append(g)
+        found: list[list[float]] = []
         for row in rows:
-            if sum(len(w.text) for w in row) < least:
+            if len(row) < least or sum(g.known for g in row) >= share * len(row):
                 continue
-            box = [min(w.x for w in row), min(w.y for w in row), max(w.x2 for w in row), max(w.y2 for w in row)]
-            if boxes and boxes[-1][1] - box[3] < apart and min(box[2], boxes[-1][2]) > max(box[0], boxes[-1][0]):
-                last = boxes[-1]
-                boxes[-1] = [min(last[0], box[0]), min(last[1], box[1]), max(last[2], box[2]), max(last[3], box[3])]
+            box = [min(g.x for g in row) - 3, min(g.y for g in row) - 3, max(g.x + g.w for g in row) + 3, max(g.y for g in row) + 1.9 * statistics.median(g.w for g in row)]
+            if found and box[1] - found[-1][3] < 12 and min(box[2], found[-1][2]) > max(box[0], found[-1][0]):
+                last = found[-1]
+                found[-1] = [min(last[0], box[0]), min(last[1], box[1]), max(last[2], box[2]), max(last[3], box[3])]
             else:
-                boxes.append(box)
-        return ((page[0].doc_id, page[0].page_index, i, *box) for i, box in enumerate(boxes[:most]))
-
-    return by_group(words, PAGE, [F.desc("y"), "x"], run, "doc_id long, page_index int, region int, x double, y double, x2 double, y2 double")
+                found.append(box)
+        width, height = page[0].width, page[0].height
+        for i, (x, y, x2, y2) in enumerate(found[:most]):
+            x, y, x2, y2 = max(x, 0.0), max(y, 0.0), min(x2, width), min(y2, height)
+            own = [g for g in page if x <= g.x <= x2 and y <= g.y <= y2]
+            if x2 - x >= 0.35 * width and own and sum(g.known for g in own) < share * len(own):
+                yield page[0].doc_id, page[0].page_index, i, x, y, x2, y2
+
+    full = marked.join(pages.select(*PAGE, "width", "height"), PAGE).where("w > 0")
+    return by_group(full.select(*PAGE, "x", "y", "w", "known", "width", "height"), PAGE, ["y", "x"], run, "doc_id long, page_index int, region int, x double, y double, x2 double, y2 double")

@@ -39,11 +39,11 @@ def exact_sum(value: Column, scale: int = 4) -> Column:
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node): all that edges (src, dst) lead to from ``start`` (node), itself included; a round joins only what is new."""
-    fresh = found = start.select("node").distinct().checkpoint()
+    """(node): all that edges (src, dst) lead to from ``start`` (node), itself included; a round joins and writes only what is new."""
+    found = fresh = start.select("node").distinct().checkpoint()
     for _ in range(max_rounds):
         fresh = edges.join(fresh, edges["src"] == fresh["node"]).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti").checkpoint()
         if fresh.isEmpty():
             return found
-        found = found.unionByName(fresh).checkpoint()
+        found = found.unionByName(fresh)
     raise RuntimeError("the search did not settle")

@@ -29,18 +29,42 @@ def json_records(rows: DataFrame, column: str, schema: str) -> DataFrame:
     return rows.withColumn(column, F.from_json(column, schema, {"mode": "FAILFAST"}))
 
 
-def save_snapshot(pages: DataFrame, path: str, documents_per_folder: str = "doc_id") -> None:
-    """Pages as Parquet by document, a row a page, with the version; it appears whole or not at all, and overwrites nothing."""
-    pages.withColumn("version", F.lit(SNAPSHOT_VERSION)).write.partitionBy(documents_per_folder).mode("errorifexists").parquet(path)
+def typed_record(text: Column, schemas: dict[str, str]) -> Column:
+    """A struct with a field for each type of ``schemas``: a tagged record ``{"type": ..., "fields": {...}}`` fills its own; an error for any other type."""
+    kind = F.get_json_object(text, "$.type")
+    known = F.when(kind.isin(*schemas), F.get_json_object(text, "$.fields")).otherwise(F.raise_error(F.concat(F.lit("unknown type: "), F.coalesce(kind, F.lit("none")))).cast("string"))
+    return F.struct(*(F.when(kind == name, F.from_json(known, schema, {"mode": "FAILFAST"})).alias(name) for name, schema in schemas.items()), F.when(known.isNotNull(), kind).alias("type"))
 
 
-def load_snapshot(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame:
-    """The pages of one document or all; an error for another version. A document's folder alone is read for it."""
+def save_snapshot(pages: DataFrame, path: str, folders: int = 64) -> None:
+    """Pages as Parquet, a row a page, with the version; it appears whole or not at all, and overwrites nothing.
+
+    Documents are dealt out to a fixed number of folders, however many there are, and sorted within.
+    """
+    marked = pages.withColumn("version", F.lit(SNAPSHOT_VERSION)).withColumn("folders", F.lit(folders)).withColumn("folder", F.pmod(F.xxhash64("doc_id"), F.lit(folders)).cast("int"))
+    marked.repartition(folders, "folder").sortWithinPartitions("folder", "doc_id", "page_index").write.partitionBy("folder").mode("errorifexists").parquet(path)
+
+
+def load_snapshot(spark: SparkSession, path: str, doc_id: int | None = None, longest: int | None = None) -> DataFrame:
+    """The pages of one document or all; an error for another version, or a document of more than ``longest`` pages. One document's folder alone is read for it."""
     pages = spark.read.parquet(path)
     if doc_id is not None:
-        pages = pages.where(F.col("doc_id") == doc_id)
+        sample = pages.select("folders").first()
+        own = F.pmod(F.xxhash64(F.lit(doc_id).cast(pages.schema["doc_id"].dataType)), F.lit(sample["folders"] if sample else 1)).cast("int")
+        pages = pages.where((F.col("folder") == own) & (F.col("doc_id") == doc_id))
     good = F.assert_true(F.col("version") == SNAPSHOT_VERSION, F.lit("another snapshot version"))
-    return pages.withColumn("_ok", good).where("_ok is null").drop("_ok", "version")
+    pages = pages.withColumn("_ok", good).where("_ok is null").drop("_ok", "version", "folder", "folders")
+    if longest is None:
+        return pages
+    sizes = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ok", F.assert_true(F.col("_n") <= longest, F.lit("too many pages")))
+    return pages.join(sizes.where("_ok is null").select("doc_id"), "doc_id", "left_semi")
+
+
+def persist(spark: SparkSession, source: str, destination: str, resources: DataFrame) -> None:
+    """Copies a snapshot, once its resources (sha256, content) have their digests; an error before anything is written otherwise."""
+    sound = resources.withColumn("_ok", F.assert_true(F.sha2("content", 256) == F.col("sha256"), F.lit("corrupt resource"))).where("_ok is null").drop("_ok").dropDuplicates(["sha256"])
+    export(sound, f"{destination}/resources", [source])
+    save_snapshot(load_snapshot(spark, f"{source}"), f"{destination}/pages")
 
 
 def export(rows: DataFrame, path: str, inputs: list[str]) -> None:
@@ -50,6 +74,11 @@ def export(rows: DataFrame, path: str, inputs: list[str]) -> None:
     rows.write.mode("errorifexists").parquet(path)
 
 
+def written(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of an export's files."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 
 class _Preview(StatefulProcessor):
@@ -88,43 +88,88 @@ def accepted_once(requests: DataFrame, cap: int = 4096) -> DataFrame:
 
 
 class _Jobs(StatefulProcessor):
-    """Admission of jobs of a service: at most ``active`` at once, ``kept`` known; ended ones go first, the oldest first."""
+    """Admission of jobs of a service: at most ``active`` at once, about ``kept`` known.
 
-    def __init__(self, active: int, kept: int):
-        self.active, self.kept = active, kept
+    Ended jobs are forgotten ``expiry`` seconds after they came. Where too many are
+    known, those that were delivered go first, the oldest first; jobs that haven't
+    ended stay.
+    """
+
+    def __init__(self, active: int, kept: int, expiry: int):
+        self.active, self.kept, self.expiry = active, kept, expiry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = handle.getMapState("jobs", T.StructType([T.StructField("id", T.StringType())]), T.StructType([T.StructField("digest", T.StringType()), T.StructField("ended", T.BooleanType()), T.StructField("at", T.LongType())]))
+        fields = [T.StructField("digest", T.StringType()), T.StructField("ended", T.BooleanType()), T.StructField("delivered", T.BooleanType()), T.StructField("at", T.LongType())]
+        self.jobs = handle.getMapState("jobs", T.StructType([T.StructField("id", T.StringType())]), T.StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = {k[0]: tuple(v) for k, v in self.jobs.iterator()}
+
+        def put(name: str, value: tuple) -> None:
+            held[name] = value
+            self.jobs.updateValue((name,), value)
+
+        def drop(name: str) -> None:
+            del held[name]
+            self.jobs.removeKey((name,))
+
         for row in sorted(rows, key=lambda r: r.seq):
-            if row.action == "end":
+            if row.action in ("end", "deliver"):
                 if row.id in held:
-                    held[row.id] = (held[row.id][0], True, held[row.id][2])
-                    self.jobs.updateValue((row.id,), held[row.id])
+                    digest, _, delivered, at = held[row.id]
+                    put(row.id, (digest, True, delivered or row.action == "deliver", at))
                 continue
             if row.id in held:
-                status = "repeat" if held[row.id][0] == row.digest else "conflict"
-            elif sum(not ended for _, ended, _ in held.values()) >= self.active:
-                status = "busy"
-            else:
-                status = "admitted"
-                held[row.id] = (row.digest, False, row.seq)
-                self.jobs.updateValue((row.id,), held[row.id])
-                if len(held) > self.kept:
-                    oldest = min((k for k, v in held.items() if v[1]), key=lambda k: held[k][2])
-                    del held[oldest]
-                    self.jobs.removeKey((oldest,))
-            yield Row(service=key[0], id=row.id, status=status)
+                yield Row(service=key[0], id=row.id, status="repeat" if held[row.id][0] == row.digest else "conflict")
+                continue
+            for name in [k for k, (_, ended, _, at) in held.items() if ended and row.at - at > self.expiry]:
+                drop(name)
+            if sum(not ended for _, ended, _, _ in held.values()) >= self.active:
+                yield Row(service=key[0], id=row.id, status="busy")
+                continue
+            over = max(0, len(held) - self.kept + 1)
+            for name in sorted((k for k, v in held.items() if v[1]), key=lambda k: (not held[k][2], held[k][3]))[:over]:
+                drop(name)
+            put(row.id, (row.digest, False, False, row.at))
+            yield Row(service=key[0], id=row.id, status="admitted")
 
     def close(self) -> None:
         pass
 
 
-def admitted(requests: DataFrame, active: int = 16, kept: int = 64) -> DataFrame:
-    """(service, id, status) of requests (service, id, digest, action submit or end, seq)."""
-    return requests.groupBy("service").transformWithState(_Jobs(active, kept), "service string, id string, status string", "append", "none")
+def admitted(requests: DataFrame, active: int = 16, kept: int = 64, expiry: int = 3600) -> DataFrame:
+    """(service, id, status) of requests (service, id, digest, action submit, end or deliver, seq, and at, in seconds; seq if there is none)."""
+    timed = requests if "at" in requests.columns else requests.withColumn("at", F.col("seq"))
+    return timed.groupBy("service").transformWithState(_Jobs(active, kept, expiry), "service string, id string, status string", "append", "none")
+
+
+class Reports(StreamingQueryListener):
+    """What running queries have done so far: (query, batch, rows) of each trigger, the last ``most`` of them."""
+
+    def __init__(self, most: int = 1000):
+        self.most, self.seen = most, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.seen = [*self.seen, (event.progress.name, event.progress.batchId, event.progress.numInputRows)][-self.most :]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def write_previews(frames: DataFrame, folder: str):
+    """A writer of a stream's frames: the latest frame of each page of a trigger, in a folder of the trigger's own, which a repeated one replaces."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest = batch.groupBy("doc_id", "page_index").agg(F.max_by(F.struct(*batch.columns), "revision").alias("f")).select("f.*")
+        latest.write.mode("overwrite").parquet(f"{folder}/trigger={number}")
+
+    return frames.writeStream.foreachBatch(write)
 
 
 def changes_after(events: DataFrame, cursor: int) -> DataFrame:

@@ -27,7 +27,25 @@ def test_too_many_entries(spark):
 
 
 def test_title_regions(spark):
-    word = lambda t, x, y: (1, 0, t, x, y, x + 50.0, y + 10.0)
-    rows = [word("A long", 50.0, 700.0), word("title", 110.0, 698.0), word("continued", 50.0, 684.0), word("x", 50.0, 640.0), word("another one", 50.0, 600.0), word("third region", 50.0, 500.0)]
-    df = spark.createDataFrame(rows, "doc_id long, page_index int, text string, x double, y double, x2 double, y2 double")
-    assert [(r.region, r.y, r.y2) for r in quality.title_regions(df).orderBy("region").collect()] == [(0, 684.0, 710.0), (1, 600.0, 610.0)]
+    """Large glyphs at the top that were not recognised: two rows that make one region, a row that was recognised, and a short one."""
+    row = lambda x, y, n, w: [(1, 0, x + 20.0 * k, float(y), w) for k in range(n)]
+    glyphs = row(50.0, 40, 12, 18.0) + row(50.0, 80, 12, 18.0) + row(50.0, 130, 9, 18.0) + row(50.0, 150, 5, 18.0) + row(50.0, 500, 60, 6.0)
+    df = spark.createDataFrame(glyphs, "doc_id long, page_index int, x double, y double, w double")
+    pages = spark.createDataFrame([(1, 0, 400.0, 800.0)], "doc_id long, page_index int, width double, height double")
+    words = spark.createDataFrame([(1, 0, 45.0, 128.0, 260.0, 132.0)], "doc_id long, page_index int, x double, y double, x2 double, y2 double")
+    got = quality.title_regions(df, pages, words).collect()
+    assert [(r.region, r.x, r.y, r.x2) for r in got] == [(0, 47.0, 37.0, 291.0)] and abs(got[0].y2 - (80 + 1.9 * 18)) < 1e-9
+    none = words.limit(0)
+    assert [r.region for r in quality.title_regions(df, pages, none).orderBy("region").collect()] == [0, 1]
+
+
+def test_page_tails(spark):
+    rows = [("Aims ... 12", "12", 2, 5), ("Aims 1 2", "12", 3, 1), ("Aims", "12", None, None), ("x.", "", None, None)]
+    df = spark.createDataFrame([(list(t), p, n, k) for t, p, n, k in rows], "chars array<string>, page_label string, n int, k int")
+    assert all((r.n_tail, r.n_leaders) == (r.n, r.k) for r in quality.tail_glyphs(df).collect())
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("j", 1, {"stage": "a", "secret": "b"}), ("j", 2, {"page_count": "3"})], "job_id string, seq int, event map<string,string>")
+    assert [r.report for r in progress.reported(df).orderBy("seq").collect()] == [{"stage": "a"}, {"page_count": "3"}]
+    assert progress.first_warnings(df, 1).first().seq == 1
