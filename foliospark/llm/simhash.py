@@ -12,7 +12,8 @@ blocks, of which two linked fingerprints share at least one whole. A pattern tha
 too many distinct fingerprints share is refined by the same rule over its remaining
 bits, again and again if need be, until at most 16 bits are free. So no task ever
 gets more than ``capacity`` (or 65,536) fingerprints of a pattern, whatever the data.
-A pattern's task returns a spanning forest of its links, not its pairs.
+A pattern's task returns an edge for each fingerprint that isn't the least of its
+component there, not its pairs.
 """
 
 from __future__ import annotations
@@ -140,10 +141,9 @@ class GrayIndex:
                 todo.append((level - 1, below_a[near], below_b[near]))
 
 
-def forest(n: int, batches) -> tuple[np.ndarray, np.ndarray]:
-    """Linked places that span the components of all links in the batches; fewer than n, each a link itself."""
+def least_linked(n: int, batches) -> np.ndarray:
+    """For each of n places the least place that links (batches of pairs) lead to, itself included."""
     label = np.arange(n)
-    found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for a, b in batches:
         while True:
             x, y = label[a], label[b]
@@ -151,27 +151,29 @@ def forest(n: int, batches) -> tuple[np.ndarray, np.ndarray]:
             if not apart.any():
                 break
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            # Each component hooks onto one with a smaller label, by one link.
+            # Each component hooks onto one with a smaller label.
             top, at = np.unique(np.maximum(x, y), return_index=True)
             label[top] = np.minimum(x, y)[at]
-            found_a.append(a[at])
-            found_b.append(b[at])
             while (flat := label[label]).tobytes() != label.tobytes():
                 label = flat
-    return np.concatenate(found_a), np.concatenate(found_b)
+    return label
 
 
-def _forests(radius: int, flush: int):
-    """For mapInArrow over rows (space, mask, pattern, fp) in that order: links (space, a, b) that span each pattern's."""
+def _joined(radius: int, flush: int):
+    """For mapInArrow over rows (space, mask, pattern, fp) in that order: edges (space, a, b) that connect each pattern's as its links do."""
 
     def edges(got: np.ndarray):
         for space, exact in np.unique(got[:2], axis=1).T:
             own = (got[0] == space) & (got[1] == exact)
             index = GrayIndex(np.unique(got[3, own]), int(exact))
-            a, b = forest(len(index.prints), index.links(radius))
+            label = least_linked(len(index.prints), index.links(radius))
+            # The least fingerprint by its number stands for a component, so that other patterns' edges are the same ones.
+            least = np.full(len(label), FULL, dtype=np.uint64)
+            np.minimum.at(least, label, index.prints)
+            ends, least = index.prints.view(np.int64), least[label].view(np.int64)
+            a = np.nonzero(ends != least)[0]
             if len(a):
-                ends = index.prints.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), int(space), dtype=np.int64)), pa.array(ends[a]), pa.array(ends[b])], names=["space", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), int(space), dtype=np.int64)), pa.array(ends[a]), pa.array(least[a])], names=["space", "a", "b"])
 
     def run(batches):
         kept: list[np.ndarray] = []
@@ -203,9 +205,10 @@ def _blocks(free: int, parts: int) -> list[int]:
 
 
 def link(prints: DataFrame, radius: int = 3, capacity: int = 50_000) -> DataFrame:
-    """Links (space, a, b) that connect the distinct fingerprints (space, fp) as all links within ``radius`` do.
+    """Edges (space, a, b) that connect the distinct fingerprints (space, fp) as all links within ``radius`` do.
 
-    Each is a link itself. Fingerprints of different spaces are never linked.
+    No more than ``radius`` and one of a fingerprint, before patterns are refined.
+    Fingerprints of different spaces are never connected.
     """
     prints = prints.select(F.col("space").cast("long").alias("space"), "fp").distinct()
     key = ["space", "mask", "pattern"]
@@ -220,10 +223,10 @@ def link(prints: DataFrame, radius: int = 3, capacity: int = 50_000) -> DataFram
         heavy = hot is not None and not hot.isEmpty()
         cold = rows.join(hot, key, "left_anti") if heavy else rows
         width = shuffle_width(rows, total, 4 * capacity)
-        part = cold.select("space", "mask", "pattern", "fp").repartition(width, *key).sortWithinPartitions(*key).mapInArrow(_forests(radius, capacity), "space long, a long, b long")
+        part = cold.select("space", "mask", "pattern", "fp").repartition(width, *key).sortWithinPartitions(*key).mapInArrow(_joined(radius, capacity), "space long, a long, b long")
         found = part if found is None else found.unionByName(part)
         if not heavy:
-            return found
+            return found.distinct()
         finer = {m: [m | x for x in _blocks(FULL & ~m, radius + 1)] for m in level if bin(FULL & ~m).count("1") > 16}
         split = F.create_map(*(y for m, x in finer.items() for y in (F.lit(_signed(m)), F.array(*(F.lit(_signed(i)) for i in x)))))
         level = {m for x in finer.values() for m in x}
@@ -259,31 +262,14 @@ def _shingles(text: bytes | None, shingle: int) -> set[bytes]:
     return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
 
 
-def _resemble(shingle: int, similarity: float):
-    """For mapInArrow over (a, b, text_a, text_b): the pairs whose shingle sets have that Jaccard similarity."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, last, own = [], None, set()
-        for a, b in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
-            if b != last:
-                last, own = b, _shingles(b, shingle)
-            other = _shingles(a, shingle)
-            keep.append(len(own & other) >= similarity * len(own | other))
-        return batch.filter(pa.array(keep)).select(["a", "b"])
-
-    return arrow_rows(run, text=2, size=1 << 22)
-
-
 def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, candidate_shingle: int = 2, tries: int = 20, radius: int = 3, seed: int = 42, capacity: int = 50_000) -> DataFrame:
     """Pairs (a, b) of ids of texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``.
 
     Candidates: links within ``radius`` in any of ``tries`` fingerprints of
-    ``candidate_shingle`` words, each by the index above, as links that span its
-    components; so there are fewer than documents times fingerprints, however large
-    a group is. Each candidate's texts are then compared exactly. Where a candidate
-    fails, its group's other links were not compared: those between the components
-    that true pairs make so far follow (``_rejoined``), until none joins two
-    components. So the pairs found connect what all true index links would. Texts
+    ``candidate_shingle`` words. The index above gives the groups that these connect,
+    and in a group all links between texts that aren't of one component yet are
+    compared by their sets of shingles (``_joined_in``). So the pairs found connect
+    what all true index links would; shingles count by 64-bit hashes. Texts
     without words, null among them, resemble each other; fewer words than ``shingle``
     are one shingle. Rows without an id have no pairs; rows that share an id are taken
     for one. Texts of any length are taken whole; other columns play no part. No rows:
@@ -308,38 +294,16 @@ def _resembling(docs: DataFrame, id_col: str, text_col: str, shingle: int, simil
     linked = link(nodes, radius, capacity)
     ends = linked.join(nodes.select("space", F.col("fp").alias("a"), F.col("first").alias("x")), ["space", "a"]).join(nodes.select("space", F.col("fp").alias("b"), F.col("first").alias("y")), ["space", "b"]).select("x", "y")
     # Documents of one fingerprint: each with the first of its set, and the sets' firsts with the first of all.
-    shared = each.join(nodes.where("n > 1").select("space", "fp", "first"), ["space", "fp"]).withColumn("set", F.pmod(F.xxhash64("id"), F.lit(SETS)))
-    shared = shared.withColumn("low", F.min("id").over(Window.partitionBy("space", "fp", "set")))
-    same = shared.select(F.col("id").alias("x"), F.when(F.col("id") == F.col("low"), F.col("first")).otherwise(F.col("low")).alias("y"))
-    pairs = checkpointed(ends.unionByName(same).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    n_pairs = pairs.count()
-    pairs = gathered(pairs, n_pairs)
-    found = _compared(pairs, n_pairs, _listed(rows, pairs), shingle, similarity)
-    part = stars(found)
-    failed = pairs.join(found, ["a", "b"], "left_anti")
-    return _rejoined(rows, prints, found, failed, n_pairs, part, shingle, similarity, tries, radius)
-
-
-def _listed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows whose id is in a pair, and those few that a bitmap can't tell from them."""
-    bitmap = Bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("key")), "key")
-    return rows.where(bitmap.column(F.xxhash64("id")))
-
-
-def _compared(pairs: DataFrame, n_pairs: int, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that resemble each other, the larger id first.
-
-    A text of very many pairs is dealt out to as many tasks as they need.
-    """
-    kind, salts = dict(texts.dtypes)["id"], max(1, n_pairs // SHARE)
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(salts)))
-    if salts > 1:
-        texts = pairs.select("salt", F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id")
-    else:
-        texts = texts.withColumn("salt", F.lit(0).cast("long"))
-    both = pairs.join(texts.select("salt", F.col("id").alias("a"), F.col("text").alias("text_a")), ["a", "salt"]).join(texts.select("salt", F.col("id").alias("b"), F.col("text").alias("text_b")), ["b", "salt"])
-    true = both.select("a", "b", "text_a", "text_b").mapInArrow(_resemble(shingle, similarity), f"a {kind}, b {kind}")
-    return checkpointed(gathered(true.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n_pairs))
+    shared = checkpointed(each.join(nodes.where("n > 1"), ["space", "fp"]).select("id", "space", "fp", "first", "n"))
+    low = F.min("id").over(Window.partitionBy("space", "fp", F.pmod(F.xxhash64("id"), F.lit(SETS))))
+    same = shared.withColumn("low", low).select(F.col("id").alias("x"), F.when(F.col("id") == F.col("low"), F.col("first")).otherwise(F.col("low")).alias("y"))
+    edges = checkpointed(ends.unionByName(same).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    n = edges.count()
+    star = stars(gathered(edges, n))
+    members = star.select(F.col("a").alias("id"), F.col("b").alias("k")).unionByName(star.select(F.col("b").alias("id"), F.col("b").alias("k")).distinct())
+    # Who shares most fingerprints with others stands in a group's middle.
+    fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
+    return _joined_in(rows, prints, gathered(members, n), fame, n, shingle, similarity, tries, radius)
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -353,57 +317,52 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return rows.groupBy("id").agg(F.min("set").alias("set"))
 
 
-def _rejoined(rows: DataFrame, prints: DataFrame, found: DataFrame, failed: DataFrame, n_pairs: int, part: DataFrame, shingle: int, similarity: float, tries: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(found and the pairs that join its components along links for which failed ones stood, the components then).
+def _joined_in(rows: DataFrame, prints: DataFrame, members: DataFrame, fame: DataFrame, n: int, shingle: int, similarity: float, tries: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of linked members (id, k) of a group that resemble each other, the components that they make, as ``stars`` gives them).
 
-    A group is what failed pairs connect. Its largest component at first is its core.
-    All its members but those that have joined the core meet the rest of the group, in
-    blocks that grow: in the end each two members that are not of one component have
-    met, and no two of the core need to. So a group of very many copies of one text
-    costs no more than its size for each member that isn't one. Where two meet, the
-    join's condition compares their fingerprints and, if these are linked, their sets
-    of hashed shingles; only what resembles leaves it, once for a text and component.
+    A group's core is the component of its most famous text. All members but those that
+    have joined the core meet the rest of the group, in blocks that grow: in the end
+    each two members that are not of one component have met, and no two of the core
+    need to. So a group of very many copies of one text costs no more than its size for
+    each member that isn't one. Where two meet, the join's condition compares their
+    fingerprints and, if these are linked, their sets; only what resembles leaves it,
+    once for a text and component. ``n``: about how many members there are.
     """
-    cross = checkpointed(_named(_named(failed, "a", part), "b", part).where("a <> b"))
-    if cross.isEmpty():
-        return found, part
-    groups = stars(cross)
-    groups = groups.select(F.col("a").alias("v"), F.col("b").alias("k")).unionByName(groups.select(F.col("b").alias("v"), F.col("b").alias("k")).distinct())
-    inside = part.select(F.col("a").alias("id"), F.col("b").alias("v")).unionByName(groups.select(F.col("v").alias("id"), "v"))
-    members = inside.join(groups, "v").select("id", "v", "k")
-    sizes = members.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.sum("n").alias("size"), F.max_by("v", F.struct("n", "v")).alias("core"))
-    degrees = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    members = checkpointed(gathered(members.join(sizes, "k").join(degrees, "id", "left").withColumn("turn", F.expr("pmod(xxhash64(id), size)")), 4 * n_pairs))
-    # The core's best linked text comes first.
-    heads = members.where("v = core").groupBy("k").agg(F.max_by("id", F.struct("degree", "id")).alias("head"))
-    members = checkpointed(gathered(members.join(heads, "k").drop("v", "degree"), 4 * n_pairs))
-    held = _sets(_listed(rows, members.select(F.col("id").alias("a"), F.col("head").alias("b"))), shingle)
-    held = checkpointed(gathered(members.select("id").join(held, "id").join(prints.dropDuplicates(["id"]), "id"), 4 * n_pairs, 1 << 12))
+    part = members.limit(0).select(F.col("id").alias("a"), F.col("k").alias("b"))
+    found = part
+    sizes = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
+    known = checkpointed(gathered(members.join(fame, "id", "left").withColumn("fame", F.coalesce("fame", F.lit(0))).join(sizes, "k").withColumn("turn", F.expr("pmod(xxhash64(id), size)")), n))
+    cores = known.groupBy("k").agg(F.max_by("id", F.struct("fame", F.xxhash64("id"))).alias("core"))
+    members = checkpointed(gathered(known.drop("fame").join(cores, "k"), n))
+    bitmap = Bitmap(members.select(F.xxhash64("id").alias("key")), "key")
+    held = _sets(rows.where(bitmap.column(F.xxhash64("id"))), shingle)
+    held = checkpointed(gathered(members.select("id").join(held, "id").join(prints.groupBy("id").agg(F.min("fps").alias("fps")), "id"), n, 1 << 12))
     share = Fraction(similarity).limit_denominator(10_000)
     num, den = share.numerator, share.denominator
     near = " or ".join(f"bit_count(fa[{i}] ^ fb[{i}]) <= {radius}" for i in range(tries))
+    close = f"{num}L * greatest(size(sa), size(sb)) <= {den}L * least(size(sa), size(sb))"
     alike = f"size(array_intersect(sa, sb)) * {num + den}L >= {num}L * (size(sa) + size(sb))"
     past, now = 0, HUBS
     while True:
-        own = _named(_named(members.withColumn("v", F.col("id")), "v", part), "core", part)
-        outside = F.col("v") != F.col("core")
+        own = _named(_named(members.withColumn("v", F.col("id")).withColumn("c", F.col("core")), "v", part), "c", part)
+        outside = F.col("v") != F.col("c")
         left = own.where(outside & (F.col("turn") >= past)).select("k").distinct()
-        own = checkpointed(gathered(own.join(left, "k", "left_semi"), 4 * n_pairs))
+        own = checkpointed(gathered(own.join(left, "k", "left_semi"), n))
         if own.isEmpty():
             return found, part
         salts = F.ceil(F.col("size") / SHARE).cast("long")
-        first = (F.col("id") == F.col("head")) if past == 0 else F.lit(False)
+        first = (F.col("id") == F.col("core")) if past == 0 else F.lit(False)
         hubs = own.where(outside & F.col("turn").between(past, now - 1) | first).join(held, "id")
         hubs = hubs.select("k", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("id").alias("b"), F.col("v").alias("vb"), F.col("fps").alias("fb"), F.col("set").alias("sb"))
         others = own.where((F.col("turn") >= past) | ~outside).join(held, "id")
         others = others.select("k", F.pmod(F.xxhash64("id", F.lit(1)), salts).alias("salt"), F.col("id").alias("a"), F.col("v").alias("va"), F.col("fps").alias("fa"), F.col("set").alias("sa"))
-        met = others.join(hubs, ["k", "salt"]).where(f"va <> vb and {num}L * greatest(size(sa), size(sb)) <= {den}L * least(size(sa), size(sb)) and ({near}) and {alike}")
-        new = met.groupBy("a", "vb").agg(F.min("b").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        new = checkpointed(gathered(new, 4 * n_pairs))
+        met = others.join(hubs, ["k", "salt"]).where(f"va <> vb and {close} and ({near}) and {alike}")
+        new = met.groupBy("a", "vb").agg(F.min("b").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        new = checkpointed(gathered(new, n))
         if not new.isEmpty():
             found = found.unionByName(new)
             joined = stars(_named(_named(new, "a", part), "b", part))
-            part = checkpointed(gathered(_named(part, "b", joined).unionByName(joined), 4 * n_pairs))
+            part = checkpointed(gathered(_named(part, "b", joined).unionByName(joined), n))
         past, now = now, min(now * MORE, now + MOST)
 
 
