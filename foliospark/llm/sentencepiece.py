@@ -1,22 +1,22 @@
-"""SentencePiece encoding and decoding, many words at a time in numpy.
+"""SentencePiece encoding and decoding by Viterbi, many words at a time in numpy.
 
 Words of equal length form a matrix and advance together. Prefix hashes give the hash
 of any substring of any row; it is looked up among the sorted hashes of the pieces.
+At each end position the best of all pieces that end there is a maximum over the
+piece lengths for all rows at once, whose place is the backpointer.
 
-Unigram models: Viterbi. At each end position the best of all pieces that end there
-is a maximum over the piece lengths for all rows at once, whose place is the
-backpointer.
+Unigram models: a path's score is the sum of its pieces' scores.
 
-BPE models have no path score that a Viterbi maximum could find: the merge order
-decides, not the sum of scores. For these the same matrices, hashes and lookups
-serve, and each step replaces the maximum over incoming pieces by the maximum over
-adjacent pairs: every row merges its best pair, the leftmost of equals, until no row
-has one. This gives the library's results, which Viterbi doesn't.
+BPE models: the merge order decides, not a sum. But a sequence of pieces is what BPE
+makes of a word exactly if BPE makes each piece of its own characters, and leaves
+each two neighbours side by side. So a path's score is 0 if all its neighbours stay
+apart, else minus infinity; each prefix of a word has one path of score 0, and the
+maximum finds its last piece. Whether two pieces stay apart is worked out once and
+kept in a table.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from functools import lru_cache
 
@@ -30,10 +30,12 @@ from .common import arrow_rows
 UNIGRAM, BPE = 1, 2
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words longer than this go one at a time, in time that grows as n log n.
-LONG_WORD = 48
-#: Words that a worker remembers at most.
-REMEMBERED = 1 << 17
+#: Words longer than this go through the same recurrence by themselves; a matrix of so few rows would be no use.
+LONG_WORD = 256
+#: Words that a worker remembers at most, and characters that such a word has at most.
+REMEMBERED, SHORT = 1 << 17, 64
+#: Bits of the number of pairs of pieces in the table of a worker; pairs that it remembers besides.
+PAIR_BITS, PAIRS = 20, 1 << 20
 #: Characters of a batch of words at most.
 BATCH = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -117,7 +119,10 @@ class PieceModel:
         self.steps = int(np.diff(self.first).max()) if len(heads) else 0
         self.keys = np.concatenate([self.keys, np.full(self.steps + 1, (1 << 64) - 1, dtype=np.uint64)])
         self.key_ids = np.concatenate([self.key_ids, np.full(self.steps + 1, -1)]).astype(np.int32)
-        self.score_of = np.append(self.scores, -np.inf)  # at -1: no piece
+        #: By the leading bits of a hash: whether any piece may have it. Most substrings are none.
+        self.there = np.zeros(1 << 20, dtype=bool)
+        self.there[hashes >> np.uint64(44)] = True
+        self.pairs = Pairs(pieces, {pieces[i]: -float(self.scores[i]) for i in normal})
         written = {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else written.get(t, p.encode()) for p, t in zip(pieces, types, strict=True)]
 
@@ -128,116 +133,105 @@ class PieceModel:
             h = (h * int(_BASE) + ord(c) + 1) & ((1 << 64) - 1)
         return h
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """The piece of each hash, or -1."""
-        hashes = hashes * _SPREAD
-        at = self.first[(hashes >> self.shift).astype(np.int64)]
-        out = np.full(hashes.shape, -1, dtype=np.int32)
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the hashes that a piece has, those pieces)."""
+        hashes = hashes.ravel() * _SPREAD
+        maybe = np.nonzero(self.there[hashes >> np.uint64(44)])[0]
+        hashes = hashes[maybe]
+        at, found = self.first[hashes >> self.shift], np.full(len(maybe), -1, dtype=np.int64)
         for k in range(self.steps):
             same = self.keys[at + k] == hashes
-            out[same] = self.key_ids[at[same] + k]
-        return out
+            found[same] = self.key_ids[at[same] + k]
+        good = found >= 0
+        return maybe[good], found[good]
 
     # -- words of one length -------------------------------------------------
 
     def _prefix_hashes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, m = codes.shape
-        sums, powers = np.zeros((rows, m + 1), dtype=np.uint64), np.ones(m + 1, dtype=np.uint64)
+        sums, powers = np.zeros((m + 1, rows), dtype=np.uint64), np.ones(m + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for i in range(m):
-                sums[:, i + 1] = sums[:, i] * _BASE + codes[:, i] + np.uint64(1)
+                sums[i + 1] = sums[i] * _BASE + codes[:, i] + np.uint64(1)
                 powers[i + 1] = powers[i] * _BASE
         return sums, powers
 
-    def merged(self, codes: np.ndarray):
-        """BPE: (rows, ids) of the rows that end with equally many pieces, again and again; -1 is a character without a piece."""
-        rows, m = codes.shape
-        sums, powers = self._prefix_hashes(codes)
-        starts = np.tile(np.arange(m + 1), (rows, 1))
-        active, ids = np.arange(rows), self.lookup(codes + np.uint64(1))
-        with np.errstate(over="ignore"):
-            found = self.lookup(sums[:, 2:] - sums[:, :-2] * powers[2]) if m > 1 else np.zeros((rows, 0), dtype=np.int32)
-        while len(active):
-            n = np.arange(len(active))
-            score = self.score_of[found]
-            best = score.argmax(axis=1) if found.shape[1] else np.zeros(len(active), dtype=np.int64)
-            done = score[n, best] == -np.inf if found.shape[1] else np.ones(len(active), dtype=bool)
-            if done.any():
-                yield active[done], ids[done]
-                go = ~done
-                active, starts, sums, ids, found, best = active[go], starts[go], sums[go], ids[go], found[go], best[go]
-                n = np.arange(len(active))
-                if not len(active):
-                    break
-            ids[n, best] = found[n, best]
-            stay = np.ones(starts.shape, dtype=bool)
-            stay[n, best + 1] = False
-            starts = starts[stay].reshape(len(active), -1)
-            ids = ids[stay[:, :-1]].reshape(len(active), -1)
-            # The pair on the merged piece's right takes the place of the pair that merged.
-            stay = np.ones(found.shape, dtype=bool)
-            stay[n, np.minimum(best + 1, found.shape[1] - 1)] = False
-            found = found[stay].reshape(len(active), -1)
-            for pair in (best - 1, best):
-                at = np.nonzero((pair >= 0) & (pair < found.shape[1]))[0]
-                if len(at):
-                    left, right = starts[at, pair[at]], starts[at, pair[at] + 2]
-                    with np.errstate(over="ignore"):
-                        found[at, pair[at]] = self.lookup(sums[at, right] - sums[at, left] * powers[right - left])
-
-    def viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Unigram: the starts of each row's pieces on the path of the largest sum of scores; of equals, the longest last piece."""
+    def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the pieces of all rows' best paths, one row behind the other; how many each row has). A character without a piece is -1.
+
+        Of equal scores, the longest last piece wins.
+        """
         rows, m = codes.shape
         sums, powers = self._prefix_hashes(codes)
-        best, back = np.full((rows, m + 1), -np.inf), np.zeros((rows, m + 1), dtype=np.int64)
-        best[:, 0] = 0
-        for end in range(1, m + 1):
-            first = max(0, end - self.longest)
-            begin = np.arange(first, end)
+        edges = []
+        for size in range(1, min(m, self.longest) + 1):
             with np.errstate(over="ignore"):
-                found = self.lookup(sums[:, end, None] - sums[:, first:end] * powers[end - begin])
-            score = np.where(found >= 0, self.scores[found], -np.inf)
-            score[:, -1] = np.where(found[:, -1] >= 0, score[:, -1], self.unknown_score)
-            score += best[:, first:end]
-            back[:, end] = first + score.argmax(axis=1)
-            best[:, end] = score.max(axis=1)
-        out = []
-        for row in range(rows):
-            at, cuts = m, []
-            while at:
-                at = int(back[row, at])
-                cuts.append(at)
-            out.append(np.array(cuts[::-1], dtype=np.int64))
-        return out
-
-    def _merged_long(self, word: str) -> list[int]:
-        """BPE of one long word with a heap of candidate pairs."""
-        ends = list(range(1, len(word) + 1))
-        before = list(range(-1, len(word) - 1))
-        heap = []
-
-        def offer(a):
-            b = ends[a]
-            if b < len(word) and ends[b] - a <= self.longest and (found := self.ids.get(word[a : ends[b]])) is not None:
-                heapq.heappush(heap, (-self.scores[found], a, b, ends[b]))
-
-        for a in range(len(word)):
-            offer(a)
-        while heap:
-            _, a, b, end = heapq.heappop(heap)
-            if ends[a] != b or ends[b] != end or ends[a] < 0:
-                continue
-            ends[a], ends[b] = end, -1
-            if end < len(word):
-                before[end] = a
-            offer(a)
-            if before[a] >= 0:
-                offer(before[a])
-        starts, at = [], 0
-        while at < len(word):
-            starts.append(at)
-            at = ends[at]
-        return starts
+                at, piece = self.lookup(sums[size:] - sums[:-size] * powers[size])
+            if size == 1:
+                own = codes.T.ravel().astype(np.int64) + len(self.pieces)
+                own[at] = piece
+                at, piece = np.arange(m * rows), own
+            edges.append((at, piece, np.searchsorted(at, np.arange(m - size + 2) * rows).tolist()))
+        # A position of all words lies together.
+        last, back = np.full((m + 1, rows), -1, dtype=np.int64), np.zeros((m + 1, rows), dtype=np.int32)
+        best, n = np.full((m + 1, rows), -np.inf), np.zeros((m + 1, rows), dtype=np.int32)
+        best[0] = 0
+        for end in range(1, m + 1):
+            for start in range(max(0, end - self.longest), end):  # the longest piece first
+                at, pieces, cuts = edges[end - start - 1]
+                low, high = cuts[start], cuts[start + 1]
+                if low == high:
+                    continue
+                own, piece = at[low:high] - start * rows, pieces[low:high]
+                if self.kind == BPE:
+                    todo = last[end, own] < 0  # a prefix has one such path
+                    own, piece = own[todo], piece[todo]
+                    good = self.pairs.apart(last[start, own], piece)
+                    score = 0.0
+                else:
+                    score = best[start, own] + np.where(piece < len(self.pieces), self.scores[np.minimum(piece, len(self.pieces) - 1)], self.unknown_score)
+                    good = score > best[end, own]
+                    score = score[good]
+                own, piece = own[good], piece[good]
+                best[end, own], last[end, own], back[end, own], n[end, own] = score, piece, start, n[start, own] + 1
+        if np.isneginf(best).any():
+            raise ValueError("the pieces' scores don't give a word one segmentation")
+        stop = np.cumsum(n[m], dtype=np.int64)
+        out, row, place, at = np.empty(stop[-1] if rows else 0, dtype=np.int64), np.arange(rows), stop - 1, np.full(rows, m)
+        while len(row):
+            out[place] = last[at, row]
+            at = back[at, row]
+            go = at > 0
+            row, place, at = row[go], place[go] - 1, at[go]
+        return np.where(out < len(self.pieces), out, -1), n[m]
+
+    def long_word(self, word: str) -> list[int]:
+        """``viterbi`` of one word."""
+        best, last, back = [0.0], [-1], [0]
+        for end in range(1, len(word) + 1):
+            top, own, place = -np.inf, -1, 0
+            for start in range(max(0, end - self.longest), end):
+                piece = self.ids.get(word[start:end])
+                if piece is None:
+                    if start < end - 1:
+                        continue
+                    piece = len(self.pieces) + ord(word[start])
+                if self.kind == BPE:
+                    if self.pairs.stay(last[start], piece):
+                        top, own, place = 0.0, piece, start
+                        break
+                elif (score := best[start] + (self.scores[piece] if piece < len(self.pieces) else self.unknown_score)) > top:
+                    top, own, place = score, piece, start
+            if own < 0:
+                raise ValueError("the pieces' scores don't give a word one segmentation")
+            best.append(top)
+            last.append(own)
+            back.append(place)
+        out, at = [], len(word)
+        while at:
+            out.append(last[at] if last[at] < len(self.pieces) else -1)
+            at = back[at]
+        return out[::-1]
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word, as bytes of int32. A word is a run of U+2581 and what follows it, or either alone."""
@@ -246,23 +240,19 @@ class PieceModel:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for m, group in by_length.items():
-            if m > LONG_WORD and self.kind == BPE:
-                out |= {w: self._pieces(w, self._merged_long(w)) for w in group}
+            if m > LONG_WORD:
+                out |= {w: self._with_bytes(w, self.long_word(w)) for w in group}
                 continue
-            step = max(1, BATCH // m // (self.longest if self.kind == UNIGRAM else 1))
+            step = max(1, BATCH // m)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(part), m).astype(np.uint64)
-                if self.kind == UNIGRAM:
-                    out |= {w: self._pieces(w, starts) for w, starts in zip(part, self.viterbi(codes), strict=True)}
-                    continue
-                for rows, ids in self.merged(codes):
-                    whole, width, odd = ids.astype("<i4").tobytes(), 4 * ids.shape[1], (ids < 0).any(axis=1)
-                    for i, row in enumerate(rows.tolist()):
-                        out[part[row]] = whole[i * width : (i + 1) * width]
-                    for i in np.nonzero(odd)[0]:
-                        w, one = part[rows[i]], ids[i]
-                        out[w] = self._with_bytes(w, one.tolist())
+                ids, sizes = self.viterbi(codes)
+                whole, ends = ids.astype("<i4").tobytes(), np.cumsum(sizes, dtype=np.int64)
+                cuts = [0, *(4 * ends).tolist()]
+                out |= {w: whole[i:j] for w, i, j in zip(part, cuts, cuts[1:], strict=False)}
+                odd = np.unique(np.searchsorted(ends, np.nonzero(ids < 0)[0], side="right"))
+                out |= {part[i]: self._with_bytes(part[i], ids[ends[i] - sizes[i] : ends[i]].tolist()) for i in odd.tolist()}
         return out
 
     def _with_bytes(self, word: str, ids: list[int]) -> bytes:
@@ -277,9 +267,90 @@ class PieceModel:
                 at += 1
         return np.array(out, dtype="<i4").tobytes()
 
-    def _pieces(self, word: str, starts) -> bytes:
-        cuts = [*map(int, starts), len(word)]
-        return self._with_bytes(word, [self.ids.get(word[a:b], -1) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+class Pairs:
+    """Which pieces BPE leaves side by side, each of which it makes of its own characters.
+
+    A piece is its id, or the number of pieces and the code of a character that is none.
+    """
+
+    def __init__(self, pieces: list[str], ranks: dict[str, float]):
+        self.pieces, self.ranks = pieces, ranks
+        self.seams: dict[int, tuple | None] = {}
+        self.known: dict[tuple[int, int], bool] = {}
+        self.keys, self.values = np.zeros(1 << PAIR_BITS, dtype=np.uint64), np.zeros(1 << PAIR_BITS, dtype=bool)
+
+    def _seams(self, piece: int) -> tuple[list, list] | None:
+        """What stands at a piece's left and right edge as BPE builds it up: (part, rank of the merge that absorbs it); None if BPE doesn't build it."""
+        text = self.pieces[piece] if piece < len(self.pieces) else chr(piece - len(self.pieces))
+        nodes: list[tuple] = [(c, None, None) for c in text]
+        while len(nodes) > 1:
+            ranked = [(r, i) for i in range(len(nodes) - 1) if (r := self.ranks.get(nodes[i][0] + nodes[i + 1][0])) is not None]
+            if not ranked:
+                return None
+            _, i = min(ranked)
+            nodes[i : i + 2] = [(nodes[i][0] + nodes[i + 1][0], nodes[i], nodes[i + 1])]
+
+        def edge(side: int) -> list[tuple[str, float]]:
+            found, node, above = [], nodes[0], np.inf
+            while node is not None:
+                found.append((node[0], above))
+                above, node = self.ranks.get(node[0], np.inf), node[side]
+            return found[::-1]
+
+        return edge(1), edge(2)
+
+    def seam(self, piece: int) -> tuple[list, list] | None:
+        if piece not in self.seams:
+            if len(self.seams) > PAIRS:
+                self.seams.clear()
+            self.seams[piece] = self._seams(piece)
+        return self.seams[piece]
+
+    def stay(self, a: int, b: int) -> bool:
+        """Whether b may follow a, or begin a word if a is -1.
+
+        The parts at their edges meet in the order of the merges that absorb them. They
+        stay apart unless such a pair makes a piece that comes first; of equal ranks, the
+        merge further left does.
+        """
+        if (found := self.known.get((a, b))) is None:
+            if len(self.known) > PAIRS:
+                self.known.clear()
+            found = self.known[a, b] = self._stay(a, b)
+        return found
+
+    def _stay(self, a: int, b: int) -> bool:
+        if (own := self.seam(b)) is None:
+            return False
+        if a < 0:
+            return True
+        left, right, i, j = self.seam(a)[1], own[0], 0, 0
+        while True:
+            (x, x_goes), (y, y_goes) = left[i], right[j]
+            across = self.ranks.get(x + y)
+            if across is not None and across < x_goes and across <= y_goes:
+                return False
+            if i == len(left) - 1 and j == len(right) - 1:
+                return True
+            if x_goes <= y_goes:
+                i += 1
+            else:
+                j += 1
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``stay`` for many pairs, by a table in which a pair has one place."""
+        with np.errstate(over="ignore"):
+            keys = (a + 2).astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+            at = (keys * _BASE) >> np.uint64(64 - PAIR_BITS)
+        miss = np.nonzero(self.keys[at] != keys)[0]
+        out = self.values[at]
+        if len(miss):
+            new, which = np.unique(keys[miss], return_inverse=True)
+            found = np.fromiter((self.stay((k >> 32) - 2, k & 0xFFFFFFFF) for k in new.tolist()), dtype=bool, count=len(new))
+            out[miss] = found[which]
+            self.keys[at[miss]], self.values[at[miss]] = keys[miss], out[miss]
+        return out
 
 
 _WORD = re.compile("▁*[^▁]+|▁+")
@@ -301,9 +372,10 @@ class Encoder:
         split = [self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = set().union(*split).difference(self.known)
-        self.known |= self.model.words(list(new))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32) for words in split]
+        new = self.model.words(list(set().union(*split).difference(self.known)))
+        self.known |= {w: ids for w, ids in new.items() if len(w) <= SHORT}
+        long = {w: ids for w, ids in new.items() if len(w) > SHORT}
+        return [np.frombuffer(b"".join([self.known[w] if len(w) <= SHORT else long[w] for w in words]), dtype=np.int32) for words in split]
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.model.bytes.__getitem__, ids)).decode("utf-8", "replace").replace("▁", " ")
@@ -320,7 +392,8 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     """(doc_id, token_ids, n_tokens, round_trip), a row for each row of ``docs``.
 
     ``model_path``: the model's file, present on every machine, as the libraries are.
-    No begin or end tokens. Null text is the empty text, which has no tokens.
+    No begin or end tokens. Null text is the empty text, which has no tokens. Texts and
+    words of any length are taken whole, and other columns play no part.
     round_trip: decoding the ids gives the text again; false only for texts with
     U+2581, which the format can't tell from a space. Null ids and repeated rows are
     rows like any other. No rows: no rows.
@@ -341,7 +414,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
 
 def decoded(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """(doc_id, text) from token ids; null ids give null."""
+    """(doc_id, text) from token ids, a row for each row; null ids give null, no ids the empty text. Repeated rows and null ids of rows are rows like any other."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoder(model_path)
