@@ -320,7 +320,7 @@ def _score(shared, order: int):
             owner = np.repeat(np.arange(len(words)), sizes)
             base = np.fromiter(map(known.__getitem__, flat), dtype=float, count=len(flat))
             rare = np.nonzero(np.isnan(base))[0]
-            sums = np.bincount(owner, weights=np.nan_to_num(base), minlength=len(words))
+            sums = np.bincount(owner, weights=np.nan_to_num(base), minlength=len(words)).astype(float)  # of no words it is integers
             n_rare = np.bincount(owner[rare], minlength=len(words))
             tails = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)), pa.array([flat[i] for i in rare], pa.binary()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes + 1), pa.array(sizes - n_rare), pa.array(sums), pa.array(score), tails, others], names=["doc_id", "held_out", "n_tokens", "n_common", "common", "score", "rare", "others"])
