@@ -8,9 +8,11 @@ when it closes a token. Its subset construction, done for the transitions that
 texts use and kept, is deterministic: a transition holds the next state and the
 number of tokens that all its paths have emitted by then.
 
-A text is cut into chunks. A chunk's state map sends the unfinished word it is
-entered with to the unfinished word it leaves and the tokens in between. Such maps
-compose associatively; a scan composes them by pairs.
+Each text is cut into chunks. The state between chunks is the unfinished word, which
+alone says how the transducers go on. A chunk's state map sends the unfinished word it
+is entered with to the one it leaves and the tokens in between. Such maps compose
+associatively; a prefix scan, in twice the logarithm of their number of rounds, gives
+the tokens up to the end of each chunk.
 """
 
 from __future__ import annotations
@@ -25,12 +27,20 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_rows
 
-#: Characters of a chunk; transitions and words that a worker remembers at most.
-CHUNK, TRANSITIONS, REMEMBERED = 1 << 16, 1 << 20, 1 << 19
+#: Characters of a chunk; transitions and words that a worker remembers at most, and characters of such a word.
+CHUNK, TRANSITIONS, REMEMBERED, SHORT = 1 << 12, 1 << 20, 1 << 18, 64
 #: Fixed: Unicode white space.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+def scan(maps: list, then) -> list:
+    """All prefixes of ``maps`` composed by an associative ``then``: pairs first, those scanned, and the odd ones from them."""
+    if len(maps) < 2:
+        return maps
+    done = scan([then(*maps[i : i + 2]) for i in range(0, len(maps) - 1, 2)], then)
+    return [maps[0], *(done[i // 2] if i % 2 else then(done[i // 2 - 1], maps[i]) for i in range(1, len(maps)))]
+
+
 class BytePairs:
     """The vocabulary and merges of a tokenizer file, over the symbols byte and 256 + byte at a word's end."""
 
@@ -192,12 +202,14 @@ class Counter:
     def of_word(self, word: str) -> int:
         """Tokens between two white spaces."""
         if (found := self.known.get(word)) is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
             # Each capital by itself, as the library has it: no final sigma.
             text = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
             parts = [text] if text.isalpha() else self.pretoken.findall(text)
-            found = self.known[word] = sum(self.transducer.count(p.encode()) for p in parts)
+            found = sum(self.transducer.count(p.encode()) for p in parts)
+            if len(word) <= SHORT:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                self.known[word] = found
         return found
 
     def _map(self, chunk: str) -> tuple[str, int, str] | str:
@@ -215,15 +227,21 @@ class Counter:
             return a[0], a[1], a[2] + b
         return a[0], a[1] + (self.of_word(w) if (w := a[2] + b[0]) else 0) + b[1], b[2]
 
+    def _total(self, found) -> int:
+        """The tokens of a text by its state map: what it is entered with and what it leaves end here."""
+        if isinstance(found, str):
+            return self.of_word(found) if found else 0
+        return found[1] + sum(self.of_word(w) for w in (found[0], found[2]) if w)
+
+    def prefixes(self, text: str) -> list[int]:
+        """Tokens of a text without special strings up to the end of each chunk, as if it ended there."""
+        maps = [self._map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
+        return [self._total(found) for found in scan(maps, self._then)]
+
     def _stretch(self, text: str) -> int:
         """Tokens of a text without special strings."""
-        if len(text) <= CHUNK:
-            return sum(map(self.of_word, self.word.findall(text)))
         maps = [self._map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        while len(maps) > 1:
-            maps = [self._then(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        ends = [maps[0]] if isinstance(maps[0], str) else [maps[0][0], maps[0][2]]
-        return sum(self.of_word(w) for w in ends if w) + (0 if isinstance(maps[0], str) else maps[0][1])
+        return self._total(scan(maps, self._then)[-1]) if maps else 0
 
     def count(self, text: str) -> int:
         """Special strings are one token each; what stands between them is text of its own."""
@@ -242,8 +260,9 @@ def counted(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row of ``docs``.
 
     ``tokenizer_path``: the tokenizer's file, present on every machine. over_limit:
-    n_tokens > ``limit``. Null text is the empty text: no bytes, no tokens. Null ids
-    and repeated rows are rows like any other. No rows: no rows.
+    n_tokens > ``limit``. Null text is the empty text: no bytes, no tokens. Texts and
+    words of any length are taken whole; other columns play no part. Null ids and
+    repeated rows are rows like any other. No rows: no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
