@@ -26,8 +26,12 @@ from .common import held_out, parts
 UNDETERMINED = "und"
 
 
+#: Characters of a text whose n-grams are hashed at a time.
+STRETCH = 1 << 18
+
+
 class Features:
-    """Hashed n-grams of one to three letters of a text's words in lower case, spaces at their ends included."""
+    """Counts of the hashed n-grams of one to three letters of a text's words in lower case, spaces at their ends included."""
 
     def __init__(self, bits: int):
         self.shift = np.uint64(64 - bits)
@@ -40,14 +44,24 @@ class Features:
         return self.letter
 
     def __call__(self, text: str) -> np.ndarray:
-        codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        text = f" {text.lower()} "
+        counts = np.zeros(self.size, dtype=np.int64)
+        for start in range(0, len(text), STRETCH):
+            before = min(start, 2)  # n-grams that began in the last stretch
+            counts += np.bincount(self._hashes(text[start - before : start + STRETCH], before), minlength=self.size)
+        return counts
+
+    def _hashes(self, text: str, before: int) -> np.ndarray:
+        """Those of the n-grams that end behind the first ``before`` characters."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         real = self.letters()[codes]
         code = np.where(real, codes, 32).astype(np.uint64)
         mix = np.uint64(0x9E3779B97F4A7C15)
         one = (code + np.uint64(1)) * mix
         two = (one[:-1] ^ code[1:]) * mix
         three = (two[:-1] ^ code[2:] + np.uint64(7)) * mix
-        return np.concatenate([one[real], two[real[1:] | real[:-1]], three[real[1:-1]]]) >> self.shift
+        found = [one[real][int(real[:before].sum()) :], two[max(before - 1, 0) :][(real[1:] | real[:-1])[max(before - 1, 0) :]], three[real[1:-1]]]
+        return (np.concatenate(found) >> self.shift).astype(np.int64)
 
 
 def code_matrix(n: int, seed: int = 0) -> np.ndarray:
@@ -87,13 +101,13 @@ class Model:
         self.trust = self.trust / self.trust.sum(axis=1, keepdims=True) if trust else self.trust
 
     def predict(self, features: np.ndarray) -> tuple[str, float, bool]:
-        """(language, its share of the belief, whether the second place is close)."""
-        if not len(features) or not self.langs:
+        """(language, its share of the belief, whether the second place is close), by a text's counts."""
+        at = np.nonzero(features)[0]
+        if not len(at) or not self.langs:
             return UNDETERMINED, 0.0, False
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
-        at, n = np.unique(features, return_counts=True)
-        margin = n @ self.weights[at.astype(np.int64)] / math.sqrt(len(features))
+        margin = features[at] @ self.weights[at] / math.sqrt(features.sum())
         loss = (self.trust * np.logaddexp(0, -self.code * margin)).sum(axis=1) * self.code.shape[1]
         belief = np.exp(loss.min() - loss)
         belief /= belief.sum()
@@ -110,11 +124,7 @@ def fit(rows: DataFrame, bits: int = 14) -> Model:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if lang not in sums:
                     sums[lang] = np.zeros(features.size, dtype=np.int64)
-                found = features(text).astype(np.int64)
-                if len(found) * 8 > features.size:
-                    sums[lang] += np.bincount(found, minlength=features.size)
-                else:
-                    np.add.at(sums[lang], found, 1)
+                sums[lang] += features(text)
         for lang, own in sums.items():
             at = np.nonzero(own)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, 0)), pa.array(np.append(own[at], 0))], names=["lang", "feature", "n"])
@@ -134,7 +144,9 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``modulus`` is not 1; a prediction sees the text alone. ``und``, with score 0, if
     the text is null or has no letter, or nothing was learned. One learned language
     is predicted for all other texts, with score 1. Null ids learn and are not held
-    out; repeated rows count as often as they are there. No rows: no rows.
+    out; repeated rows count as often as they are there. Texts of any length are taken
+    whole, a stretch at a time; other columns play no part. The driver holds 2 ** ``bits``
+    counts for each learned language. No rows: no rows.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col], modulus).alias("held_out"), docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows.where("not held_out and lang is not null and text is not null"), bits))
@@ -144,7 +156,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for part in parts(batch, 2, 1 << 20):
                 if part.num_rows:
-                    found = [model.value.predict(features(t) if t else np.zeros(0)) for t in part.column(2).to_pylist()]
+                    found = [model.value.predict(features(t or "")) for t in part.column(2).to_pylist()]
                     langs, scores, doubt = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(doubt)], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
