@@ -76,8 +76,10 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels of one kind, each document's evidence is the labels' mean (one half
     without labels). ``host`` and ``path`` (paths lie within hosts): by default the
     source, and the language within it; nulls are groups of their own. kept:
-    p_quality of at least one half. Null text has no words. Null ids have no labels.
-    Repeated rows are rows like any other. No rows: no rows.
+    p_quality of at least one half. Null text has no words; texts of any length are
+    taken whole. Null ids have no labels. Repeated rows are rows like any other, but
+    the classifier sees one row of an id. Columns named like the results play no part.
+    No rows: no rows.
     """
     host = docs["source"] if host is None else host
     path = docs["lang"] if path is None else path
@@ -89,7 +91,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if n_marks > sample_rows:
         chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * (sample_rows / n_marks)))
     names = [f"x_{n}" for n in INPUTS]
-    found = rows.join(chosen, "doc_id").select(*names, "label").toArrow()
+    # One row an id, however often it is there, so that no more than the sample reaches the driver.
+    found = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*names, "label")).alias("r")).select("r.*").orderBy(*names, "label").toArrow()
     y = (found["label"].to_numpy() >= 0.5).astype(float)
     if len(set(y.tolist())) == 2:
         w = train(np.column_stack([found[n].to_numpy() for n in names]), y)
