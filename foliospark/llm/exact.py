@@ -192,7 +192,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when their normalised bytes are. keep_id is the smallest id of
     the equal texts (null only if none has an id), group_size their number of rows.
     kept is true for one row of each group: the one whose id is keep_id, and only
-    one of rows that repeat it. Null text is the empty text. No rows: no rows.
+    one of rows that repeat it. Null text is the empty text. Texts of any length are
+    compared whole; other columns play no part. No rows: no rows.
     """
     entries, classes, _ = _index(docs, id_col, text_col, capacity, max_depth)
     found = entries.join(classes, ["h", "sha"])
@@ -203,7 +204,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1_000, max_depth: int = 16) -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
 
-    Texts that don't recur aren't shuffled.
+    Texts that don't recur aren't shuffled. Null text is the empty text. Of rows that
+    share id and text, any one stays, even if they differ elsewhere; of texts without
+    any id, one row stays. Texts of any length are compared whole; columns of any name
+    are kept as they are. No rows: no rows.
     """
     entries, classes, bitmap = _index(docs, id_col, text_col, capacity, max_depth)
     if bitmap is None:

@@ -73,7 +73,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Reruns agree. Null text has size 0; rows of size 0 may be copied, and take no
     words. A null source is a source, and the last. Null ids and repeated rows are
-    rows like any other. No rows: no rows.
+    rows like any other. Texts of any length count whole; other columns play no part.
+    No rows: no rows.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col, source=source_col)
     rows = checkpointed(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("tie")))
@@ -114,7 +115,10 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], ceiling: int, seed: int, t
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3, seed: int = 0, tries: int = 32) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``mixed`` takes it, with all its columns.
 
-    Rows that share id and text share their copies as evenly as whole copies go.
+    Rows that share id and text share their copies as evenly as whole copies go. Null
+    sources are one source, null texts have no words, and null ids and texts of any
+    length are taken like others; columns of any name are kept as they are. No rows: no
+    rows.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col, source=source_col)
     rows = checkpointed(rows.select("source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("tie"), F.xxhash64("doc_id", "text").alias("key")))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -184,6 +185,47 @@ def test_site_quality(spark):
     assert {r.p_document for r in site_quality.judged(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_site_shares_match_a_plain_version(spark):
+    """From each document's own evidence: strengths by moments, shares of hosts and paths without the document, and odds."""
+    rows = labelled(300)
+    docs = spark.createDataFrame([(i, t, s, lang) for i, t, _, s, lang in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, _, q, _, _ in rows if i % 3], "doc_id long, quality int")
+    got = site_quality.judged(docs, labels).collect()
+
+    def gather(key):
+        out = {}
+        for r in got:
+            out.setdefault(key(r), []).append(r.p_document)
+        return out
+
+    def strength(groups):
+        n, g = sum(map(len, groups)), len(groups)
+        means = [sum(x) / len(x) for x in groups]
+        within = max(sum((p - m) ** 2 for x, m in zip(groups, means, strict=True) for p in x), 1e-9) / (n - g)
+        mean = sum(map(sum, groups)) / n
+        between = (sum(len(x) * (m - mean) ** 2 for x, m in zip(groups, means, strict=True)) - (g - 1) * within) / (n - sum(len(x) ** 2 for x in groups) / n)
+        return min(max(within / max(between, 1e-12), 1.0), 1e6)
+
+    hosts, paths = gather(lambda r: r.host), gather(lambda r: (r.host, r.path))
+    k_host, k_path = strength(list(hosts.values())), strength(list(paths.values()))
+    mean = sum(r.p_document for r in got) / len(got)
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for r in got:
+        h, p = hosts[r.host], paths[r.host, r.path]
+        p_host = (sum(h) - r.p_document + k_host * mean) / (len(h) - 1 + k_host)
+        p_path = (sum(p) - r.p_document + k_path * p_host) / (len(p) - 1 + k_path)
+        odds = logit(r.p_document) + logit(p_path) - logit(mean)
+        assert (r.p_host, r.p_path, r.p_quality) == pytest.approx((p_host, p_path, 1 / (1 + math.exp(-odds))), rel=1e-4, abs=1e-6) and r.kept == (r.p_quality >= 0.5)
+
+
+def test_samples_of_labels_take_a_row_of_an_id(spark):
+    rows = labelled(300)
+    docs = spark.createDataFrame([(i, t, s, lang) for i, t, _, s, lang in rows for _ in range(1 + 3 * (i == 5))], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, _, q, _, _ in rows], "doc_id long, quality int")
+    got = site_quality.judged(docs, labels, sample_rows=100).collect()
+    assert len(got) == 303 and sum(r.kept == bool(rows[r.doc_id][2]) for r in got) >= 0.95 * len(got)
+
+
 def test_sparse_sites_shrink_toward_all(spark):
     frame = spark.createDataFrame([(h, 1.0 * n, s, q) for h, n, s, q in (("a", 500, 450.0, 420.0), ("b", 400, 80.0, 40.0), ("c", 300, 240.0, 200.0))], "h string, n double, s double, q double")
     strong = site_quality._strength(frame)

@@ -98,6 +98,51 @@ def test_state_maps_compose_in_any_order():
         assert left == right and sum(map(counter.of_word, (w for w in (left[0], left[2]) if w))) + left[1] == counter._stretch(text)
 
 
+def test_scans_give_all_prefixes():
+    for n in range(12):
+        maps = [f"{i}." for i in range(n)]
+        assert token_counts.scan(maps, lambda a, b: a + b) == ["".join(maps[: i + 1]) for i in range(n)]
+    counter = token_counts.counter(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(f"word{i} and,more{'x' * (i % 90)}" for i in range(900))
+    ends = [*range(token_counts.CHUNK, len(text), token_counts.CHUNK), len(text)]
+    assert counter.prefixes(text) == [counter._stretch(text[:k]) for k in ends] and len(ends) > 5 and counter.prefixes(text)[-1] == sum(map(counter.of_word, text.split()))
+
+
+def test_long_and_repeated_rows_of_token_columns(spark):
+    """Unique words of thousands of characters are counted and encoded, and not remembered."""
+    import sentencepiece as library
+    from tokenizers import Tokenizer
+
+    random.seed(4)
+    word = lambda n: "".join(random.choices("abcdefghij日本語", k=n))
+    values = [" ".join(word(5000) for _ in range(6)), word(300), "same", "same", None]
+    df = spark.createDataFrame([(i if i != 3 else 2, t) for i, t in enumerate(values)], "doc_id long, text string").withColumn("n_tokens", F.lit("clash")).withColumn("known", F.lit(1))
+    json_path, model_path = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    filled = [t or "" for t in values]
+    got = sorted((r.doc_id, r.n_tokens) for r in token_counts.counted(df, json_path).collect())
+    assert got == sorted((i if i != 3 else 2, len(e.ids)) for i, e in enumerate(Tokenizer.from_file(json_path).encode_batch(filled, add_special_tokens=False)))
+    want = library.SentencePieceProcessor(model_file=model_path).encode(filled)
+    assert sorted((r.doc_id, r.token_ids) for r in sentencepiece.encoded(df, model_path).collect()) == sorted((i if i != 3 else 2, ids) for i, ids in enumerate(want))
+    own = token_counts.counter(json_path)
+    own.count(values[0])
+    assert all(len(w) <= token_counts.SHORT for w in own.known)
+
+
+def test_pieces_that_stay_apart_match_merging():
+    """Every pair of pieces that follow each other in BPE's own result stays; what BPE would merge doesn't."""
+    import sentencepiece as library
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, other = sentencepiece.encoder(path).model, library.SentencePieceProcessor(model_file=path)
+    random.seed(12)
+    normal = [p for p in model.ids if p.isalpha() and len(p) > 1]
+    for _ in range(3000):
+        a, b = random.choice(normal), random.choice(normal)
+        plain = [model.ids.get(p) for p in other.encode_as_pieces(a + b)[0:]]
+        own = model.words([f"▁{a}{b}"])[f"▁{a}{b}"]
+        assert np.frombuffer(own, "<i4").tolist() == other.encode(a + b) and plain
+
+
 def lm_corpus():
     random.seed(11)
     words = [f"{a}{b}{c}" for a in ("th", "er", "on") for b in ("an", "ti", "re") for c in ("", "ing", "ed")]
@@ -223,6 +268,59 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.identified(df.where("lang = 'aa'")).collect()} == {"aa", "und"}
 
 
+def brute_grams(text, bits):
+    """Hashed n-grams one by one, in plain integers."""
+    full, mix, out = (1 << 64) - 1, 0x9E3779B97F4A7C15, Counter()
+    codes = [(ord(c) if c.isalpha() else 32, c.isalpha()) for c in f" {text.lower()} "]
+    for i, (c, real) in enumerate(codes):
+        one = (c + 1) * mix & full
+        if real:
+            out[one >> 64 - bits] += 1
+        if i + 1 < len(codes):
+            two = (one ^ codes[i + 1][0]) * mix & full
+            if real or codes[i + 1][1]:
+                out[two >> 64 - bits] += 1
+            if i + 2 < len(codes) and codes[i + 1][1]:
+                out[(two ^ codes[i + 2][0] + 7) * mix % (1 << 64) >> 64 - bits] += 1
+    return out
+
+
+def test_languages_match_a_plain_version(spark):
+    """Counts, bit classifiers, losses and decoding, one document at a time."""
+    bits, rows = 8, language_rows(120) + [(900, "12 .", "aa"), (901, None, "bb")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    langs = sorted({lang for _, _, lang in rows})
+    counts = {x: Counter() for x in langs}
+    for i, t, lang in rows:
+        if not held(i) and t is not None:
+            counts[lang].update(brute_grams(t, bits))
+    share = {x: [(counts[x][f] + 0.1) / (sum(counts[x].values()) + 0.1 * (1 << bits)) for f in range(1 << bits)] for x in langs}
+    codes = [(1, *c) for c in itertools.product((1, -1), repeat=len(langs) - 1) if -1 in c]
+    weights = []
+    for code in codes:
+        sides = [[x for x, c in zip(langs, code, strict=True) if c == side] for side in (1, -1)]
+        weights.append([math.log(sum(share[x][f] for x in sides[0]) / len(sides[0])) - math.log(sum(share[x][f] for x in sides[1]) / len(sides[1])) for f in range(1 << bits)])
+    trust = {x: [max(code[k] * sum(p * w for p, w in zip(share[x], weight, strict=True)), 1e-6) for code, weight in zip(codes, weights, strict=True)] for k, x in enumerate(langs)}
+    got = {r.doc_id: r for r in langid.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bits=bits).collect()}
+    for i, t, _ in rows:
+        grams = brute_grams(t or "", bits)
+        if not grams:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        margins = [sum(n * weight[f] for f, n in grams.items()) / math.sqrt(sum(grams.values())) for weight in weights]
+        loss = {x: sum(a * math.log1p(math.exp(-code[k] * m)) for a, code, m in zip(trust[x], codes, margins, strict=True)) / sum(trust[x]) * len(codes) for k, x in enumerate(langs)}
+        belief = {x: math.exp(min(loss.values()) - v) for x, v in loss.items()}
+        best = max(belief, key=belief.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(belief[best] / sum(belief.values()), rel=1e-4)
+
+
+def test_long_texts_are_hashed_in_stretches(monkeypatch):
+    text = "".join(random.Random(3).choices("abcé 1ñ", k=5000))
+    whole = langid.Features(10)(text)
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    assert (langid.Features(10)(text) == whole).all() and dict(enumerate(whole.tolist())) == {f: brute_grams(text, 10)[f] for f in range(1 << 10)}
+
+
 @pytest.mark.parametrize("n", [2, 3, 7, 8, 40])
 def test_codewords_differ(n):
     code = langid.code_matrix(n)
