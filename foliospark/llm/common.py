@@ -41,7 +41,9 @@ def shuffle_width(df: DataFrame, rows: int, per_task: int) -> int:
 def gathered(df: DataFrame, rows: int, per_task: int = 1 << 16) -> DataFrame:
     """``df``, of about that many narrow rows, in as many partitions as they need and no more.
 
-    A small table over many partitions costs each step that follows as many tasks and files.
+    A small table over many partitions costs each step that follows as many tasks and
+    files; in a single one, joins and groups need no shuffle. What ``df`` reads must be
+    as small: give it what comes from a checkpoint or a shuffle, not from a scan.
     """
     return df.coalesce(max(1, -(-rows // per_task)))
 

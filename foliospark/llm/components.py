@@ -29,8 +29,9 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             return edges
-        edges = gathered(edges, before[0])
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        n = before[0]
+        edges = gathered(edges, n)
+        both = gathered(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * n)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: each node hands its larger neighbours its smallest one. The edge
         # (a, b) has a > b, so b's smallest is what reaches a.
@@ -38,7 +39,8 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: each node ties itself and its smaller neighbours to the smallest of these.
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(gathered(tied.unionByName(lower.select("a", F.col("m").alias("b"))).where("a != b").distinct(), 2 * before[0]))
+        fresh = gathered(tied.unionByName(lower.select("a", F.col("m").alias("b"))).where("a != b"), 2 * n).distinct()
+        edges = checkpointed(gathered(fresh, 2 * n))
         after = _measure(edges)
         if after == before:
             return edges

@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     rows = narrow(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(arrow_rows(score, text=1, size=1 << 22), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return rows.mapInArrow(arrow_rows(score, text=1), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     star = stars(link(nodes.withColumn("space", F.lit(0)), radius, capacity).select("a", "b"))
-    member = checkpointed(star.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct()))
+    n = star.count()
+    member = checkpointed(gathered(star.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct()), 2 * n))
     first = nodes.join(member, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = member.join(first, "root").select("fp", "component_id", F.lit(True).alias("linked"))
     ids = nodes.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
@@ -288,7 +289,7 @@ def _resembling(docs: DataFrame, id_col: str, text_col: str, shingle: int, simil
 
     rows = narrow(docs, id=id_col, text=text_col).where("id is not null")
     kind = dict(rows.dtypes)["id"]
-    prints = checkpointed(rows.mapInArrow(arrow_rows(score, text=1, size=1 << 22), f"id {kind}, fps array<long>"))
+    prints = checkpointed(rows.mapInArrow(arrow_rows(score, text=1), f"id {kind}, fps array<long>"))
     each = prints.select("id", F.posexplode("fps").alias("space", "fp")).select("id", F.col("space").cast("long").alias("space"), "fp")
     nodes = checkpointed(each.groupBy("space", "fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
     linked = link(nodes, radius, capacity)
@@ -300,21 +301,20 @@ def _resembling(docs: DataFrame, id_col: str, text_col: str, shingle: int, simil
     edges = checkpointed(ends.unionByName(same).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     n = edges.count()
     star = stars(gathered(edges, n))
-    members = star.select(F.col("a").alias("id"), F.col("b").alias("k")).unionByName(star.select(F.col("b").alias("id"), F.col("b").alias("k")).distinct())
+    members = gathered(star.select(F.col("a").alias("id"), F.col("b").alias("k")).unionByName(star.select(F.col("b").alias("id"), F.col("b").alias("k")).distinct()), n)
     # Who shares most fingerprints with others stands in a group's middle.
-    fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
-    return _joined_in(rows, prints, gathered(members, n), fame, n, shingle, similarity, tries, radius)
+    fame = gathered(shared, tries * n).groupBy("id").agg(F.sum("n").alias("fame"))
+    return _joined_in(rows, prints, members, fame, n, shingle, similarity, tries, radius)
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, set): each text's shingles as sorted 64-bit hashes; of rows that share an id, the smallest set."""
+    """(id, set): each text's shingles as sorted 64-bit hashes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [sorted(x - (1 << 64) if x >> 63 else x for x in map(xxhash.xxh64_intdigest, _shingles(t, shingle))) for t in utf8(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
 
-    rows = texts.select("id", "text").mapInArrow(arrow_rows(run, text=1, size=1 << 22), f"id {dict(texts.dtypes)['id']}, set array<long>")
-    return rows.groupBy("id").agg(F.min("set").alias("set"))
+    return texts.select("id", "text").mapInArrow(arrow_rows(run, text=1), f"id {dict(texts.dtypes)['id']}, set array<long>")
 
 
 def _joined_in(rows: DataFrame, prints: DataFrame, members: DataFrame, fame: DataFrame, n: int, shingle: int, similarity: float, tries: int, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -334,9 +334,11 @@ def _joined_in(rows: DataFrame, prints: DataFrame, members: DataFrame, fame: Dat
     known = checkpointed(gathered(members.join(fame, "id", "left").withColumn("fame", F.coalesce("fame", F.lit(0))).join(sizes, "k").withColumn("turn", F.expr("pmod(xxhash64(id), size)")), n))
     cores = known.groupBy("k").agg(F.max_by("id", F.struct("fame", F.xxhash64("id"))).alias("core"))
     members = checkpointed(gathered(known.drop("fame").join(cores, "k"), n))
-    bitmap = Bitmap(members.select(F.xxhash64("id").alias("key")), "key")
-    held = _sets(rows.where(bitmap.column(F.xxhash64("id"))), shingle)
-    held = checkpointed(gathered(members.select("id").join(held, "id").join(prints.groupBy("id").agg(F.min("fps").alias("fps")), "id"), n, 1 << 12))
+    # Of rows that share an id, the smallest set and fingerprints count.
+    there = Bitmap(members.select(F.xxhash64("id").alias("key")), "key").column(F.xxhash64("id"))
+    sets = gathered(checkpointed(_sets(rows.where(there), shingle)), n, 1 << 12).groupBy("id").agg(F.min("set").alias("set"))
+    prints = gathered(checkpointed(prints.where(there)), n).groupBy("id").agg(F.min("fps").alias("fps"))
+    held = checkpointed(gathered(members.select("id").join(sets, "id").join(prints, "id"), n, 1 << 12))
     share = Fraction(similarity).limit_denominator(10_000)
     num, den = share.numerator, share.denominator
     near = " or ".join(f"bit_count(fa[{i}] ^ fb[{i}]) <= {radius}" for i in range(tries))
