@@ -34,8 +34,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LONG_WORD = 256
 #: Words that a worker remembers at most, and characters that such a word has at most.
 REMEMBERED, SHORT = 1 << 17, 64
-#: Bits of the number of pairs of pieces in the table of a worker; pairs that it remembers besides.
-PAIR_BITS, PAIRS = 20, 1 << 20
+#: Bits of the number of pairs of pieces in the table of a worker; pairs, and pieces' seams, that it remembers besides.
+PAIR_BITS, PAIRS = 21, 1 << 15
 #: Characters of a batch of words at most.
 BATCH = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -347,7 +347,7 @@ class Pairs:
         out = self.values[at]
         if len(miss):
             new, which = np.unique(keys[miss], return_inverse=True)
-            found = np.fromiter((self.stay((k >> 32) - 2, k & 0xFFFFFFFF) for k in new.tolist()), dtype=bool, count=len(new))
+            found = np.fromiter((self._stay((k >> 32) - 2, k & 0xFFFFFFFF) for k in new.tolist()), dtype=bool, count=len(new))
             out[miss] = found[which]
             self.keys[at[miss]], self.values[at[miss]] = keys[miss], out[miss]
         return out
