@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, checkpointed, gathered, narrow, shuffle_width, utf8
+from .common import arrow_rows, checkpointed, gathered, narrow, parts, shuffle_width, utf8
 from .components import stars
 from .exact import Bitmap
 
@@ -34,7 +34,7 @@ FULL = (1 << 64) - 1
 #: Children of a node.
 FAN = 8
 #: Pairs of nodes looked at in one vectorised step.
-STEP = 1 << 18
+STEP = 1 << 17
 #: Texts of a group that are compared with the rest of it in the first further round; how much more in each next one, up to what.
 HUBS, MORE, MOST = 16, 16, 4096
 #: Members of a group, or pairs, that one task looks at, about; sets that documents of one fingerprint are dealt out to.
@@ -307,14 +307,16 @@ def _resembling(docs: DataFrame, id_col: str, text_col: str, shingle: int, simil
     return _joined_in(rows, prints, members, fame, n, shingle, similarity, tries, radius)
 
 
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, set): each text's shingles as sorted 64-bit hashes."""
+def _sets(rows: DataFrame, there, shingle: int) -> DataFrame:
+    """(id, set): the shingles, as sorted 64-bit hashes, of the texts (id, text) whose id's hash passes a test."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted(x - (1 << 64) if x >> 63 else x for x in map(xxhash.xxh64_intdigest, _shingles(t, shingle))) for t in utf8(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch.filter(pa.array(there(batch.column(2).to_numpy(zero_copy_only=False)))), 1, 1 << 20):
+                found = [sorted(x - (1 << 64) if x >> 63 else x for x in map(xxhash.xxh64_intdigest, _shingles(t, shingle))) for t in utf8(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
 
-    return texts.select("id", "text").mapInArrow(arrow_rows(run, text=1), f"id {dict(texts.dtypes)['id']}, set array<long>")
+    return rows.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, set array<long>")
 
 
 def _joined_in(rows: DataFrame, prints: DataFrame, members: DataFrame, fame: DataFrame, n: int, shingle: int, similarity: float, tries: int, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -335,9 +337,9 @@ def _joined_in(rows: DataFrame, prints: DataFrame, members: DataFrame, fame: Dat
     cores = known.groupBy("k").agg(F.max_by("id", F.struct("fame", F.xxhash64("id"))).alias("core"))
     members = checkpointed(gathered(known.drop("fame").join(cores, "k"), n))
     # Of rows that share an id, the smallest set and fingerprints count.
-    there = Bitmap(members.select(F.xxhash64("id").alias("key")), "key").column(F.xxhash64("id"))
-    sets = gathered(checkpointed(_sets(rows.where(there), shingle)), n, 1 << 12).groupBy("id").agg(F.min("set").alias("set"))
-    prints = gathered(checkpointed(prints.where(there)), n).groupBy("id").agg(F.min("fps").alias("fps"))
+    bitmap = Bitmap(members.select(F.xxhash64("id").alias("key")), "key")
+    sets = gathered(checkpointed(_sets(rows, bitmap.test, shingle)), n, 1 << 12).groupBy("id").agg(F.min("set").alias("set"))
+    prints = gathered(checkpointed(prints.where(bitmap.column(F.xxhash64("id")))), n).groupBy("id").agg(F.min("fps").alias("fps"))
     held = checkpointed(gathered(members.select("id").join(sets, "id").join(prints, "id"), n, 1 << 12))
     share = Fraction(similarity).limit_denominator(10_000)
     num, den = share.numerator, share.denominator
