@@ -2,12 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, gathered
 
 
+def least_linked(n: int, batches) -> np.ndarray:
+    """For each of n places the least place that links (batches of pairs) lead to, itself included."""
+    label = np.arange(n)
+    for a, b in batches:
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                break
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            # Each component hooks onto one with a smaller label.
+            top, at = np.unique(np.maximum(x, y), return_index=True)
+            label[top] = np.minimum(x, y)[at]
+            while (flat := label[label]).tobytes() != label.tobytes():
+                label = flat
+    return label
+
+
+#: Edges that a task contracts at a time.
+CONTRACTED = 1 << 20
+
+
+def _contract(batches):
+    """For mapInArrow over edges (a, b) of integers: as few as connect the same nodes, each to the least of its component here."""
+
+    def out(held: list[np.ndarray]):
+        ends = np.concatenate(held, axis=1)
+        nodes, at = np.unique(ends, return_inverse=True)
+        a, b = at.reshape(ends.shape)
+        least = least_linked(len(nodes), [(a, b)])
+        own = np.nonzero(least != np.arange(len(nodes)))[0]
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[least[own]])], names=["a", "b"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]))
+        size += batch.num_rows
+        if size >= CONTRACTED:
+            yield out(held)
+            held, size = [], 0
+    if size:
+        yield out(held)
+
+
 def _measure(edges: DataFrame) -> tuple[int, int]:
     """A count and an order-free sum of hashes: equal for equal sets of edges."""
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -22,10 +68,16 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     takes a minimum, which combines before its shuffle, then joins it back; no
     neighbour list is ever held together, so a node with very many neighbours is
     no more than a skewed join. Each round is checkpointed, in as many partitions as
-    its edges need; only two numbers a round reach the driver. No edges: no rows.
+    its edges need; only two numbers a round reach the driver. Before the first round,
+    each task contracts the edges that it has, if their nodes are integers. No edges: no
+    rows.
     """
     edges = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _measure(edges)
+    kind = dict(edges.dtypes)["a"]
+    if before[0] and kind in ("int", "bigint"):
+        edges = checkpointed(gathered(edges, before[0]).mapInArrow(_contract, f"a {kind}, b {kind}"))
+        before = _measure(edges)
     for _ in range(max_rounds):
         if not before[0]:
             return edges

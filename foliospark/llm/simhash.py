@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, checkpointed, gathered, narrow, parts, shuffle_width, utf8
-from .components import stars
+from .components import least_linked, stars
 from .exact import Bitmap
 
 FULL = (1 << 64) - 1
@@ -141,24 +141,6 @@ class GrayIndex:
                 todo.append((level - 1, below_a[near], below_b[near]))
 
 
-def least_linked(n: int, batches) -> np.ndarray:
-    """For each of n places the least place that links (batches of pairs) lead to, itself included."""
-    label = np.arange(n)
-    for a, b in batches:
-        while True:
-            x, y = label[a], label[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            # Each component hooks onto one with a smaller label.
-            top, at = np.unique(np.maximum(x, y), return_index=True)
-            label[top] = np.minimum(x, y)[at]
-            while (flat := label[label]).tobytes() != label.tobytes():
-                label = flat
-    return label
-
-
 def _joined(radius: int, flush: int):
     """For mapInArrow over rows (space, mask, pattern, fp) in that order: edges (space, a, b) that connect each pattern's as its links do."""
 
