@@ -216,3 +216,26 @@ def test_tall_words_keep_the_glyphs_of_their_whole_box(spark):
     glyphs = box_frame(spark, [(1, 0, i, 10.0, y - 2, 14.0, y + 2) for i, y in at.items()], "glyph_id long")
     got = {r.glyph_id: r.word_id for r in spatial.nearest_words(glyphs, words).collect()}
     assert got == {1: 7, 2: 7, 3: 7, 4: 7, 6: 7, 7: 8}
+
+
+def test_words_of_any_height_against_a_plain_version(spark):
+    """The tallest reaches more buckets than an array can hold."""
+    random.seed(11)
+    words = [(1, p, i, x := random.uniform(0, 80), y := random.uniform(-200, 200), x + random.uniform(5, 60), y + random.choice([-30, 0, 6, 8, 15, 40, 120, 300])) for p in range(6) for i in range(15)]
+    words.append((1, 0, 99, 0.0, -50.0, 90.0, 1e12))
+    glyphs = [(1, p, i, x := random.uniform(0, 120), y := random.uniform(-250, 550), x + 6, y + 10) for p in range(6) for i in range(80)]
+    want = {}
+    for _, p, i, x, y, x2, y2 in glyphs:
+        middle, centre = (y + y2) / 2, (x + x2) / 2
+        near = [(abs((w[4] + w[6]) / 2 - middle), w[2], w) for w in words if w[1] == p and w[3] - 2 <= centre <= w[5] + 2 and w[4] // 8 - 1 <= middle // 8 <= w[6] // 8 + 1]
+        if near and min(near)[0] <= max(8, min(near)[2][6] - min(near)[2][4]):
+            want[p, i] = min(near)[1]
+    got = spatial.nearest_words(box_frame(spark, glyphs, "glyph_id long"), box_frame(spark, words, "word_id int"))
+    assert {(r.page_index, r.glyph_id): r.word_id for r in got.collect()} == want and {99} < set(want.values())
+
+
+def test_exploded_words_are_not_broadcast(spark, tmp_path):
+    box_frame(spark, [(1, 0, 7, 0.0, 0.0, 9.0, 80.0)], "word_id int").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    plan = spatial.nearest_words(words.withColumnRenamed("word_id", "glyph_id"), words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
